@@ -19,7 +19,7 @@ from ..session import table, written
 
 #: The project's own token pattern (fixed value).
 TOKEN = r"[a-zA-Z0-9][a-zA-Z0-9_\-+.]*"
-CAPACITY, GROUPS, SMALL = 1024, 48, 128
+CAPACITY, GROUPS, SMALL = 1024, 200, 32
 #: Documents of one size are ranked within so many hash buckets, so that a size held by very many documents is no single task.
 BUCKETS = 256
 
