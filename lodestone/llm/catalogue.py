@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, survivor
+from . import leaks, packing, spans, splitting, survivor
 
-MODULES = (survivor, packing)
+MODULES = (survivor, splitting, packing, leaks, spans)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

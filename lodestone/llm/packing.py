@@ -21,7 +21,7 @@ from ..session import table, written
 TOKEN = r"[a-zA-Z0-9][a-zA-Z0-9_\-+.]*"
 CAPACITY, GROUPS, SMALL = 1024, 200, 32
 #: Documents of one size are ranked within so many hash buckets, so that a size held by very many documents is no single task.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def _configuration(rounded: list[int], left: list[int], capacity: int) -> list[int]:
