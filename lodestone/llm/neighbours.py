@@ -24,7 +24,9 @@ from ..session import partitions, table, written
 DIM, DIGITS, TOP = 64, 4, 10
 #: Bounds of what is fitted and broadcast: vectors sampled for the tree, calibration queries, leaves.
 FIT_SAMPLE, CALIBRATION, MAX_LEAVES = 50_000, 400, 4_096
-LEAF_SIZE, RECALL, ROUNDS = 400, 0.99, 8
+LEAF_SIZE, RECALL, ROUNDS = 400, 0.975, 8
+#: Every class is kept in so many leaves, the first on its own walk: a query then needs far fewer visits.
+SPILL = 5
 #: Queries of one leaf are spread over so many rows per block, rows of a leaf over so many per block.
 BLOCK = 2_000
 
@@ -156,15 +158,16 @@ def calibrate(index: DataFrame, tree: Tree, top: int, floor: float, recall: floa
     if not len(truth):
         return min(2, len(tree.leaf)), 1.0
     spark = index.sparkSession
-    of = {r.key: r.leaf for r in index.join(F.broadcast(spark.createDataFrame([(int(k),) for k in truth["key"].unique()], "key long")), "key").select("key", "leaf").collect()}
+    wanted = F.broadcast(spark.createDataFrame([(int(k),) for k in truth["key"].unique()], "key long"))  # at most queries x top keys
+    of = {r.key: r.leaves for r in index.join(wanted, "key").select("key", "leaves").collect()}
     place = [{leaf: i for i, leaf in enumerate(o)} for o in order]
-    ranks = np.sort([place[a][of[b]] + 1 for a, b in zip(truth["q"], truth["key"], strict=True)])
+    ranks = np.sort([min(place[a][leaf] for leaf in of[b]) + 1 for a, b in zip(truth["q"], truth["key"], strict=True)])
     need = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]
     return int(need), float((ranks <= need).mean())
 
 
 def index_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Tree]:
-    """Classes in their leaves (``key``, ``v``, ``leaf``, ``n``, ``ids``: the least ``TOP`` + 1 ids), the members, and the tree."""
+    """Classes with their leaves (``key``, ``v``, ``n``, ``leaves``), the members, and the tree."""
     spark = vectors.sparkSession
     keyed = written(vectors, "vectors")
     classes = keyed.groupBy("key").agg(F.min("v").alias("v"), F.count("*").alias("n"))
@@ -179,9 +182,9 @@ def index_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Tree]:
         for pdf in batches:
             for at in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[at : at + BLOCK]
-                yield part.assign(leaf=np.array([o[0] for o in shared.value.visits(unit_rows(part["v"]), 1)], np.int32))
+                yield part.assign(leaves=shared.value.visits(unit_rows(part["v"]), SPILL))
 
-    return written(classes.mapInPandas(place, "key long, v binary, n long, leaf int"), "leaves"), keyed, tree
+    return written(classes.mapInPandas(place, "key long, v binary, n long, leaves array<int>"), "leaves"), keyed, tree
 
 
 def nearest(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, top: int, floor: float) -> DataFrame:
@@ -191,9 +194,10 @@ def nearest(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, top:
     """
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(tree)
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    placed = index.select(F.explode("leaves").alias("leaf"), "key", "v")
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     sizes = F.broadcast(sizes.select("leaf", "blocks"))  # at most MAX_LEAVES rows
-    rows = index.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "v", F.lit(False).alias("asks"))
+    rows = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "v", F.lit(False).alias("asks"))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -240,7 +244,7 @@ def nearest(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, top:
                         yield compare(xs[0], ks[0], q[at : at + BLOCK], qk[at : at + BLOCK])
 
     found = together.select("leaf", "block", "asks", "key", "v").mapInPandas(search, "q long, key long, sim float")
-    best = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "key"))).alias("all"))  # at most top x visits x blocks
+    best = found.groupBy("q", "key").agg(F.max("sim").alias("sim")).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "key"))).alias("all"))  # at most top x visits x blocks
     return best.select("q", F.explode(F.slice("all", 1, top)).alias("n")).select("q", "n.key", (-F.col("n.far")).alias("sim"))
 
 
