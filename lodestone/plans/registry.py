@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import orphans
+from ..operators import extraction, graph, orphans
+from . import text_queries
 
-MODULES = (orphans,)
+MODULES = (orphans, text_queries, extraction, graph)
 
 
 def queries() -> dict:
