@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import extraction, graph, orphans
+from ..operators import communities, extraction, graph, orphans, paths, resolution, retrieval, templates
 from . import text_queries
 
-MODULES = (orphans, text_queries, extraction, graph)
+MODULES = (orphans, text_queries, extraction, graph, paths, templates, resolution, communities, retrieval)
 
 
 def queries() -> dict:
