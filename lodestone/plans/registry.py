@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import communities, extraction, graph, orphans, paths, resolution, retrieval, templates
-from . import text_queries
+from ..operators import communities, evaluation, extraction, graph, orphans, paths, resolution, retrieval, templates
+from ..sources import archive
+from . import stream_queries, text_queries
 
-MODULES = (orphans, text_queries, extraction, graph, paths, templates, resolution, communities, retrieval)
+MODULES = (orphans, text_queries, extraction, graph, paths, templates, resolution, communities, retrieval, evaluation, archive, stream_queries)
 
 
 def queries() -> dict:
