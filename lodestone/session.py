@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,16 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lodestone_sent", False):
+        here = Path(__file__).parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lodestone-code-')}/lodestone_code", "zip", here.parent, here.name)
+        sc.addPyFile(made)
+        sc._lodestone_sent = True
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
