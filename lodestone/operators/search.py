@@ -111,7 +111,7 @@ def local(spark, root: str, questions: DataFrame, nodes: DataFrame, edges: DataF
         from paths_ p join norm on norm.anchor = p.anchor and norm.place = p.place join qn on qn.q = p.q left join rel r on r.q = p.q and r.anchor = p.anchor and r.place = p.place
         join feat on feat.anchor = p.anchor and feat.place = p.place join nodes_ n on n.id = p.target),
       c as (select q, anchor, place, target as doc_id, label, depth, {decorated(d)} as path, round(least(1e0, {score} + least({BOOST_CAP}e0, boost)), 4) as score from f),
-      g as (select q, doc_id, depth, max_by(struct(label, path, anchor, place), struct(score, path)) as b, max(score) as score from c group by q, doc_id, depth)
+      g as (select q, doc_id, depth, max_by(struct(label, path, anchor, place), struct(score, path)) as b, max(score) as score from c group by q, doc_id, depth),
       s as (select anchor, place, collect_list(token) as toks from path_terms_ where length(token) > 1 group by anchor, place)
       select g.*, coalesce(s.toks, array()) as toks from g left join s on s.anchor = g.b.anchor and s.place = g.b.place""")
     pool = found.selectExpr("q", "doc_id", "depth", "b.label as label", "b.path as path", "toks", "score")
