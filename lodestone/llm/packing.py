@@ -2,7 +2,7 @@
 
 The plan is made from the histogram of sizes alone (at most ``capacity`` numbers, however many documents there are).
 Large sizes are rounded up to the greatest of their group, groups being of equal cardinality; configurations of the few
-rounded sizes are chosen greedily by exact knapsack, the fullest first; real documents take the slots by rank; the space
+rounded sizes are chosen one after the other, each the largest size left with what fills the rest best by exact knapsack; real documents take the slots by rank; the space
 that this leaves, known exactly, is filled with the small sizes by best fit. The result is a bounded list of moves
 (size, ranks from-to, containers from-to), which a range join applies to all documents at once.
 """
@@ -19,18 +19,19 @@ from ..session import table, written
 
 #: The project's own token pattern (fixed value).
 TOKEN = r"[a-zA-Z0-9][a-zA-Z0-9_\-+.]*"
-CAPACITY, GROUPS, SMALL = 1024, 200, 32
+CAPACITY, GROUPS, SMALL = 1024, 800, 32
 #: Documents of one size are ranked within so many hash buckets, so that a size held by very many documents is no single task.
 BUCKETS = 64
 
 
 def _configuration(rounded: list[int], left: list[int], capacity: int) -> list[int]:
-    """Slots per group of the fullest container that the remaining counts allow (bounded knapsack, larger sizes first)."""
-    best: dict[int, tuple[int, ...]] = {0: ()}
-    reach = 1  # bit s is set if total s can be made
+    """Slots per group of a container: the largest size that is left, and what fills the rest best (bounded knapsack, larger sizes first)."""
+    largest = next(g for g, n in enumerate(left) if n)
+    reach = 1  # bit s is set if total s can be made beside the largest
     steps = []
+    capacity -= rounded[largest]
     for g, size in enumerate(rounded):
-        k, block = left[g], 1
+        k, block = left[g] - (g == largest), 1
         while k > 0 and size <= capacity:
             take = min(block, k)
             grown = (reach | reach << (size * take)) & ((1 << capacity + 1) - 1)
@@ -40,6 +41,7 @@ def _configuration(rounded: list[int], left: list[int], capacity: int) -> list[i
             k -= take
             block *= 2
     total, use = reach.bit_length() - 1, [0] * len(rounded)
+    use[largest] = 1
     for g, take, before in reversed(steps):
         if not before >> total & 1:
             use[g] += take
