@@ -36,18 +36,19 @@ chunks as (select source_id, label, text, min(url) as url, min(record_id) as rec
 
 def methods_in(d: Spark, text: str, methods=L.CORPUS_METHODS) -> str:
     """Ids of the methods that a text names: an alias as a substring, or all of an alias' tokens."""
-    low, toks = f"lower({text})", T.token_set(d, text)
     found = []
     for name, aliases, _ in methods:
         tests = []
         for a in dict.fromkeys((name.lower(), *aliases)):
-            tests.append(f"contains(low_, {d.lit(a)})")
+            tests.append(f"contains(x_.low, {d.lit(a)})")
             words = [w for w in a.split() if len(w) > 1]
             if len(words) > 1:
-                tests.append("(" + " and ".join(d.has("toks_", d.lit(w)) for w in words) + ")")
+                tests.append("(" + " and ".join(d.has("x_.toks", d.lit(w)) for w in words) + ")")
         found.append(f"case when {' or '.join(tests)} then 'method:{slug_of(name)}' end")
     body = d.keep(d.array(*found), "m_", "m_ is not null")
-    return body.replace("low_", low).replace("toks_", toks)
+    # the lower-case text and its tokens are bound once per row
+    once = d.array(d.struct(low=f"lower({text})", toks=T.token_set(d, text)))
+    return d.at(d.map(once, "x_", body), 0)
 
 
 @book.query
