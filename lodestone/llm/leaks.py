@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .rolling import codes, windows
 
-RUN, ITEM_BLOCK, CHARS = 60, 5_000, 1_000_000
+RUN, ITEM_BLOCK, CHARS, LEAST_WIDTH = 60, 5_000, 1_000_000, 8
 #: Words taken for units wherever they stand.
 UNITS = frozenset("ms s sec secs second seconds min minute minutes hour hours day days week weeks month months year years kb mb gb tb token tokens percent cents dollars usd eur km cm mm kg hz khz mhz ghz".split())
 NUMBER, NAME, UNIT, BREAK = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -86,15 +86,11 @@ class Items:
         self.texts, self.run = texts, run
         self.templates = Templates([t for _, _, t in texts])
         self.streams = [self.templates.template(t) for _, _, t in texts]
-        self.width = max(4, min([24, *(self._holds(t, s) for (_, _, t), s in zip(texts, self.streams, strict=True))]))
-        at: dict[int, set[int]] = defaultdict(set)
-        for k, s in enumerate(self.streams):
-            for h in windows(codes("".join(s)), self.width):
-                at[int(h)].add(k)
-        self.hashes = np.array(sorted(at), np.uint64)
-        self.owners = [tuple(sorted(at[int(h)])) for h in self.hashes]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        holds = [self._holds(t, s) for (_, _, t), s in zip(texts, self.streams, strict=True)]
+        self.width = min([24, *(n for n in holds if n >= LEAST_WIDTH)])
+        self.table = Windows(enumerate(self.streams), self.width)
+        # texts with a run whose whole words hold next to no template (one very long word) are met by their plain letters
+        self.odd = Windows(((k, [plain(texts[k][2])]) for k, n in enumerate(holds) if n < LEAST_WIDTH), run)
         self.grams: dict[str, set[int]] = defaultdict(set)
         for item, _, t in texts:
             p = plain(t)
@@ -112,12 +108,32 @@ class Items:
         first, last = np.searchsorted(starts, at), np.searchsorted(starts, at + self.run, "right") - 1
         return int((made[last] - made[first]).min())
 
-    def hits(self, streams: list[str]) -> dict[int, set[int]]:
+    def hits(self, streams: list[str], texts: list[str]) -> dict[int, set[int]]:
         """Document number -> numbers of item texts that share a template window with it."""
-        joined = BREAK.join(streams)
-        h = windows(codes(joined), self.width)
-        near = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
         found: dict[int, set[int]] = defaultdict(set)
+        self.table.meet(streams, found)
+        if len(self.odd.hashes):
+            self.odd.meet([plain(t) for t in texts], found)
+        return found
+
+
+class Windows:
+    """Hashed windows of numbered streams, with a bitmap in front."""
+
+    def __init__(self, streams, width: int) -> None:
+        self.width = width
+        at: dict[int, set[int]] = defaultdict(set)
+        for k, s in streams:
+            for h in windows(codes("".join(s)), width):
+                at[int(h)].add(k)
+        self.hashes = np.array(sorted(at), np.uint64)
+        self.owners = [tuple(sorted(at[int(h)])) for h in self.hashes]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def meet(self, streams: list[str], found: dict[int, set[int]]) -> None:
+        h = windows(codes(BREAK.join(streams)), self.width)
+        near = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
         if len(near) and len(self.hashes):
             spot = np.searchsorted(self.hashes, h[near])
             spot[spot == len(self.hashes)] = 0
@@ -125,7 +141,6 @@ class Items:
             starts = np.cumsum([0, *(len(s) + 1 for s in streams)])
             for doc, k in set(zip((np.searchsorted(starts, near[same], "right") - 1).tolist(), spot[same].tolist(), strict=True)):
                 found[doc].update(self.owners[k])
-        return found
 
 
 def slots(item: list[str], item_words: list[str], doc: list[str], doc_words: list[str]) -> tuple[int, int, bool, bool]:
@@ -202,7 +217,7 @@ def leaks(docs: DataFrame, items: DataFrame, mode: str = "exact") -> DataFrame:
                 rows = []
                 for chunk in _chunks(pdf):
                     made = [it.templates.template(t) for _, t in chunk]
-                    for d, ks in it.hits(["".join(m) for m in made]).items():
+                    for d, ks in it.hits(["".join(m) for m in made], [t for _, t in chunk]).items():
                         doc, text = chunk[d]
                         if mode == "exact":
                             near = {it.texts[k][0] for k in ks}

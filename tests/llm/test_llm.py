@@ -145,7 +145,7 @@ def test_linked_names(spark):
     people = [
         ("author:1", "Marigold Fentworth", "University of Zorbal", None, "x"), ("author:2", "Fentworth, Marigold Q.", "Zorbal Univ.", None, "x"), ("author:3", "Marigold Fentwroth", "U. Zorbal", None, "x"),
         ("author:4", "M. Fentworth", "University of Zorbla", None, "x"), ("author:5", "Marigold Fentworth", "Quaxton Institute of Technology", None, "x"), ("author:6", "Goldie Fentworth", "Zorbal University", None, "x"),
-        ("author:7", None, None, None, None), ("author:8", "", "n/a", None, None), ("author:1", "Marigold Fentworth", "University of Zorbal", None, "x"), ("author:9", "Peregrin Ostwald", None, "0000-1", None), ("author:10", "P. Ostwald-Wren", "Zorbal University", "0000-1", None),
+        ("author:7", None, None, None, None), ("author:8", "", "n/a", None, None), ("author:1", "Marigold Fentworth", "University of Zorbal", None, "x"), ("author:9", "Peregrin Ostwald", None, "0000-0000-0000-0001", None), ("author:10", "P. Ostwald-Wren", "Zorbal University", "0000-0000-0000-0001", None),
     ]
     orgs = [("org:1", "University of Zorbal", None), ("org:2", "Zorbal University", ""), ("org:3", "Zorbal Institute of Technology", None), ("org:4", None, None), ("org:5", "UZ", "https://www.zorbal-uni.example/"), ("org:6", "Univ. Zorbal", "http://zorbal-uni.example")]
     nick = spark.createDataFrame([("Goldie", "Marigold"), (None, "x")], "nick string, given_name string")
@@ -371,3 +371,10 @@ def test_queries_run(spark, sf, name):
     assert df.count() > 0
     if name.endswith("_found"):
         assert df.count() == df.distinct().count()
+
+
+def test_leaks_of_one_long_word(spark):
+    word = "".join(random.Random(3).choice("abcdefgh") for _ in range(90))
+    items = [(1, "c", word, None), (2, "c", ITEMS[0][2], None)]
+    got = {(r.doc_id, r.item_id) for r in leaked(spark, [(1, "xx" + word[5:70], 0), (2, word[:59], 0), (3, "say " + ITEMS[0][2], 0)], items).collect()}
+    assert got == {(1, 1), (3, 2)}
