@@ -83,8 +83,8 @@ def community_composition(d):
 @book.query
 def community_members(d):
     """The four first members of every source (representatives) and the number of all."""
-    return f"""with w as (select source, doc_id, row_number() over (partition by source order by doc_id) as rk, count(*) over (partition by source) as n from documents where source is not null)
-        select source, doc_id, cast(rk as bigint) as rk, n from w where rk <= 4"""
+    return f"""with w as (select source, doc_id, row_number() over (partition by source order by doc_id) as rk from documents where source is not null), n as (select source, count(*) as n from documents where source is not null group by source),
+        f as (select * from w where rk <= 4) select f.source, f.doc_id, cast(f.rk as bigint) as rk, n.n from f join n on n.source = f.source"""
 
 
 @book.query

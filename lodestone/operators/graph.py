@@ -227,4 +227,4 @@ def federated_limit(d):
     """The first results of every source, as many as its share of a total of 40 (the limit is the operator)."""
     return """with s as (select lower(source_name) as source_name, row_no, row_number() over (partition by lower(source_name) order by row_no) as rn,
           (select greatest(1, cast(floor(40 / count(distinct lower(source_name))) as int)) from source_records) as k from source_records)
-        select source_name, row_no from s where rn <= k"""
+        select source_name, row_no from (select * from s where rn <= 40) where rn <= k"""

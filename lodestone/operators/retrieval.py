@@ -26,6 +26,12 @@ ROUTES = (
     ("structured_lookup", ("which repos", "count", "after 20", "before 20", "from stanford"), 8),
 )
 SHORT, SHORT_BUDGET, MIXED_BUDGET = 5, 8, 10
+#: Sentences of answers, gaps and subquestions.
+NO_EVIDENCE = "I do not have enough retrieved evidence to answer this query."
+BEST_SUPPORTED = "The best-supported answer is grounded in the retrieved claims and source chunks: "
+CAUTION = "Retrieved evidence includes cautionary or limitation language; treat recommendation as conditional."
+NO_REPOSITORY = "No implementation repository was retrieved in the top evidence."
+ASK_EVIDENCE, ASK_RISKS = ("What claim and source evidence supports ", " for: "), ("Which implementation or production risks are linked to ", "?")
 #: Fusion and diversity.
 RRF_K, HYBRID_MIX, LIST_MIX, MMR = 60, (0.74, 0.26), (0.62, 0.38), 0.72
 
@@ -145,8 +151,8 @@ def drift_subquestions(d):
     return f"""with {scored(d)}, b as (select s.q, x.source, max(round(s.cosine, 9)) as best from scored s join documents x on x.doc_id = s.doc_id where x.source is not null group by s.q, x.source),
         w as (select *, row_number() over (partition by q order by best desc, source) as rk from b),
         t as (select w.q, w.source, w.rk, i.query from w join eval_items i on i.item_id = w.q where w.rk <= 3),
-        u as (select q, 2 * rk - 1 as place, concat('What claim and source evidence supports ', source, ' for: ', query) as subquestion from t
-          union all select q, 2 * rk, concat('Which implementation or production risks are linked to ', source, '?') from t)
+        u as (select q, 2 * rk - 1 as place, concat('{ASK_EVIDENCE[0]}', source, '{ASK_EVIDENCE[1]}', query) as subquestion from t
+          union all select q, 2 * rk, concat('{ASK_RISKS[0]}', source, '{ASK_RISKS[1]}') from t)
         select q as item_id, cast(place as bigint) as place, subquestion from u where place <= 5"""
 
 
@@ -201,10 +207,10 @@ def answers(spark, root):
               bool_or({T.any_word(d, "lower(coalesce(text, ''))", ('risk', 'limitation', 'challenge', 'stale'))}) as caution, bool_or(doc_kind in ('readme', 'release_notes', 'issue')) as repo
             from c where rk <= 6 group by item_id)
       select i.item_id, {route(d, 'i.query')} as route, coalesce(g.confidence, 0e0) as confidence,
-        case when g.item_id is null then 'I do not have enough retrieved evidence to answer this query.' else concat('The best-supported answer is grounded in the retrieved claims and source chunks: ', array_join(transform(slice(cs, 1, 3), x -> x.span), '; ')) end as answer,
+        case when g.item_id is null then '{NO_EVIDENCE}' else concat('{BEST_SUPPORTED}', array_join(transform(slice(cs, 1, 3), x -> x.span), '; ')) end as answer,
         coalesce(transform(cs, x -> x.doc_id), array()) as citations,
-        concat_ws(' ', case when caution then 'Retrieved evidence includes cautionary or limitation language; treat recommendation as conditional.' end,
-                  case when not coalesce(repo, false) then 'No implementation repository was retrieved in the top evidence.' end) as gaps
+        concat_ws(' ', case when caution then '{CAUTION}' end,
+                  case when not coalesce(repo, false) then '{NO_REPOSITORY}' end) as gaps
       from eval_items i left join g on g.item_id = i.item_id""")
 
 

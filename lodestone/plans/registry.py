@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..operators import communities, evaluation, extraction, graph, orphans, paths, resolution, retrieval, search, templates
 from ..sources import archive
-from . import stream_queries, text_queries
+from . import more_queries, stream_queries, text_queries
 
-MODULES = (orphans, text_queries, extraction, graph, paths, templates, resolution, communities, retrieval, search, evaluation, archive, stream_queries)
+MODULES = (orphans, text_queries, extraction, graph, paths, templates, resolution, communities, retrieval, search, evaluation, archive, stream_queries, more_queries)
 
 
 def queries() -> dict:

@@ -243,3 +243,35 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert key(spark.table("w")) == key(want)
     R.append_traces(R.read_events(spark, str(tmp_path / "in"), 100).select("event_id"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == src.count()
+
+
+def test_reports_and_command_line(spark, sf, tmp_path, capsys):
+    from lodestone import cli
+    from lodestone.plans import registry
+    from lodestone.sources.reports import decision_memo, write_reports
+
+    known = registry.queries()
+    paths = write_reports(spark, sf, str(tmp_path), known, ("eval_summary", "system_health"))
+    assert len(paths) == 4 and all(open(p).read() for p in paths)
+    assert write_reports(spark, sf, str(tmp_path), {}, ("eval_summary",)) == paths[:2]  # kept, not made again
+    assert "Decision memo" in open(decision_memo(spark, sf, 1, str(tmp_path / "m" / "memo.md"), known)).read()
+    assert cli.main(["list"]) == 0 and "vector_only" in capsys.readouterr().out
+    args = cli.parser().parse_args(["--root", sf, "ask", "3", "--mode", "local"])
+    assert cli.MODES[args.mode] in known and all(q in known for q in (*cli.MODES.values(), *cli.GRAPH.values()))
+    assert cli.main(["--root", sf, "run", "nothing"]) == 2
+
+
+def test_search_modes(spark, sf):
+    from lodestone.plans import registry
+
+    known = registry.queries()
+    got = known["local_search"](spark, sf).toPandas()
+    assert len(got) and got.groupby("item_id").size().max() <= 8 and got["score"].between(0, 1).all()
+    assert known["global_search"](spark, sf).where("score < 0.12").count() == 0
+
+
+def test_answers_of_every_question(spark, sf):
+    from lodestone.plans import registry
+
+    got = registry.queries()["answers"](spark, sf).toPandas()
+    assert len(got) == 150 and got["answer"].str.len().min() > 0 and (got["citations"].str.len() <= 6).all()
