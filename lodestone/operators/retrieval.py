@@ -42,11 +42,11 @@ def scored(d: Spark, questions: str = "select item_id as q, query as text from e
 qs as ({questions}),
 qt as (select q, token, count(*) as tf from (select q, {d.explode(T.tokens(d, 'text'))} as token from qs) group by q, token),
 qn as (select q, sqrt(sum(cast(tf * tf as double))) as norm, count(case when length(token) > 1 then 1 end) as words from qt group by q),
-dt as (select doc_id, token, count(*) as tf from (select doc_id, {d.explode(T.tokens(d, 'text'))} as token from documents) group by doc_id, token),
-dn as (select doc_id, sqrt(sum(cast(tf * tf as double))) as norm from dt group by doc_id),
-dots as (select qt.q, dt.doc_id, sum(cast(qt.tf * dt.tf as double)) as dot, count(case when length(qt.token) > 1 then 1 end) as hits from qt join dt on dt.token = qt.token group by qt.q, dt.doc_id),
-scored as (select x.q, x.doc_id, x.dot / (qn.norm * dn.norm) as cosine, case when qn.words = 0 then 0e0 else x.hits / cast(qn.words as double) end as overlap
-  from dots x join qn on qn.q = x.q join dn on dn.doc_id = x.doc_id)"""
+dt as (select {'/*+ repartition(doc_id) */ ' if d.name == 'spark' else ''}doc_id, {d.explode(T.tokens(d, 'text'))} as token from documents),
+dn as (select doc_id, token, tf, sqrt(sum(cast(tf * tf as double)) over (partition by doc_id)) as norm from (select doc_id, token, count(*) as tf from dt group by doc_id, token)),
+dots as (select qt.q, dn.doc_id, max(dn.norm) as norm, sum(cast(qt.tf * dn.tf as double)) as dot, count(case when length(qt.token) > 1 then 1 end) as hits from qt join dn on dn.token = qt.token group by qt.q, dn.doc_id),
+scored as (select x.q, x.doc_id, x.dot / (qn.norm * x.norm) as cosine, case when qn.words = 0 then 0e0 else x.hits / cast(qn.words as double) end as overlap
+  from dots x join qn on qn.q = x.q)"""
 
 
 def _meta(d: Spark) -> str:
