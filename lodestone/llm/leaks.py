@@ -244,7 +244,7 @@ def p8_found(spark, root: str) -> DataFrame:
 
 
 def p8_templates(spark, root: str) -> DataFrame:
-    """Copied and re-parameterised questions and outlines."""
+    """Copied and re-parameterised questions and outlines; what copies one item re-parameterises the items that share its template."""
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), "templates")
 
 
