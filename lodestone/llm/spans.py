@@ -166,12 +166,8 @@ def classes(docs: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame
     return hashed.distinct().join(reps, "t").select("key", "doc", "copies")
 
 
-def shared_spans(docs: DataFrame, members: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Spans of at least ``span`` characters that two different texts share: ``a``, ``b`` (class representatives), their places.
-
-    Long spans come in overlapping parts of less than 2 x ``span`` whose union is the whole. Null and shorter texts share
-    nothing. A key with several texts takes part with each.
-    """
+def _routes(docs: DataFrame, members: DataFrame, key: str, text: str, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The spans of every two texts that share a sample of few texts, and every place (``w``, ``doc``, ``start``) of a whole span around a crowded sample."""
     spark = docs.sparkSession
     reps = members.where("key = doc").select("doc")
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.length("text") >= span)
@@ -183,13 +179,33 @@ def shared_spans(docs: DataFrame, members: DataFrame, key: str, text: str, span:
     near = written(near, "near")
     few = near.join(crowded, "h", "left_anti").repartition(partitions(spark), "h").sortWithinPartitions("h")
     found = few.mapInPandas(_pairs(span), _SPANS)
-    spots = near.join(crowded, "h", "left_semi").mapInPandas(_whole(span), "w long, doc long, start int").groupBy("w", "doc").agg(F.min("start").alias("start"))
+    return found, near.join(crowded, "h", "left_semi").mapInPandas(_whole(span), "w long, doc long, start int")
+
+
+def shared_spans(docs: DataFrame, members: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Spans of at least ``span`` characters that two different texts share: ``a``, ``b`` (class representatives), their places.
+
+    Long spans come in overlapping parts of less than 2 x ``span`` whose union is the whole. Null and shorter texts share
+    nothing. A key with several texts takes part with each. Every pair that shares a span is there; of a span around a crowded
+    sample only its first place in each text is given (``shared_places`` has all places).
+    """
+    found, spots = _routes(docs, members, key, text, span, gram)
+    spots = spots.groupBy("w", "doc").agg(F.min("start").alias("start"))
     left = spots.select("w", F.col("doc").alias("a"), F.col("start").alias("a_start"))
     right = spots.select("w", F.col("doc").alias("b"), F.col("start").alias("b_start"))
     whole = left.join(right, "w").where("a < b").select("a", "b", "a_start", (F.col("a_start") + span).alias("a_end"), "b_start", (F.col("b_start") + span).alias("b_end"))
     return found.unionByName(whole)
 
 
+def shared_places(docs: DataFrame, members: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """``doc``, ``s``, ``e``: every place of a span of at least ``span`` characters that another text has too, in overlapping parts; texts as in ``shared_spans``."""
+    found, spots = _routes(docs, members, key, text, span, gram)
+    spots = written(spots.distinct(), "spots")
+    shared = spots.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("w")
+    whole = spots.join(shared, "w", "left_semi").select("doc", F.col("start").alias("s"), (F.col("start") + span).alias("e"))
+    return found.selectExpr("stack(2, a, a_start, a_end, b, b_start, b_end) as (doc, s, e)").unionByName(whole).distinct()
+
+
 def p9_found(spark, root: str) -> DataFrame:
     """Pairs of documents that share at least ``SPAN`` characters, copies included."""
     docs = table(spark, root, "documents").select("doc_id", "text")
@@ -207,8 +223,7 @@ def p9_shared(spark, root: str) -> DataFrame:
     """Per document with a shared span: its class, its copies, its characters and the share of them found elsewhere."""
     docs = table(spark, root, "documents").select("doc_id", "text")
     members = written(classes(docs, "doc_id", "text"), "classes")
-    spans = written(shared_spans(docs, members, "doc_id", "text"), "spans")
-    ends = spans.selectExpr("stack(2, a, a_start, a_end, b, b_start, b_end) as (doc, s, e)").distinct()
+    ends = written(shared_places(docs, members, "doc_id", "text"), "places")
     before = ends.selectExpr("doc", "s", "e", "max(e) over (partition by doc order by s, e rows between unbounded preceding and 1 preceding) as top")
     covered = before.groupBy("doc").agg(F.sum(F.greatest(F.col("e") - F.greatest("s", F.coalesce("top", F.lit(0))), F.lit(0))).alias("covered"))
     sizes = docs.select(F.col("doc_id").alias("key"), F.length("text").alias("chars"))

@@ -333,6 +333,29 @@ def test_crowded_spans(spark):
     assert found(spark, [(a, b, 0) for a, b in rows]) == brute_spans(rows, 300)
 
 
+def test_coverage_of_crowded_spans(spark, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    block, lone = word(340), word(310)
+    rows = [(i, word(rnd.randint(20, 90)) + block + word(rnd.randint(20, 90)) + (block if i % 2 else "")) for i in range(70)]
+    rows += [(90, lone + word(9) + lone), (91, rows[1][1]), (92, None), (93, "")]  # twice in one text only; a copy
+    where = {}
+    for d, t in rows[:71]:
+        for i in range(len(t) - 299):
+            where.setdefault(t[i : i + 300], []).append((d, i))
+    want = {}
+    for spots in where.values():
+        if len({d for d, _ in spots}) > 1:
+            for d, i in spots:
+                want.setdefault(d, set()).update(range(i, i + 300))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(spans, "table", lambda *_: docs)
+    for crowd in (spans.CROWD, 1_000):
+        monkeypatch.setattr(spans, "CROWD", crowd)
+        got = {r.doc_id: round(r.shared_share * r.chars) for r in spans.p9_shared(spark, "").collect()}
+        assert got == {d: len(s) for d, s in want.items()} | {1: len(rows[1][1]), 91: len(rows[1][1])}
+
+
 def test_automaton():
     rnd = random.Random(7)
     texts = ["".join(rnd.choice("ab") for _ in range(40)) for _ in range(4)]
