@@ -5,7 +5,11 @@ typed placeholder; white space, punctuation and format characters leave no trace
 in bold, widened or broken by soft hyphens keep their template. The windows of the evaluation templates (a held-out set,
 small by nature; it is taken in blocks of items so that what is broadcast stays bounded) meet all windows of every
 document's template by hash. The window is as long as can be while every run of ``RUN`` letters and digits of any item
-still holds a whole window: no such run can be missed.
+still holds a whole window.
+
+Templates depend on where words begin and end, so exact runs don't go through them: windows of ``RUN`` plain letters and
+digits meet by hash and are checked letter by letter. No such run can be missed, also if spaces are lost or put between
+letters.
 """
 
 from __future__ import annotations
@@ -91,6 +95,8 @@ class Items:
         self.table = Windows(enumerate(self.streams), self.width)
         # texts with a run whose whole words hold next to no template (one very long word) are met by their plain letters
         self.odd = Windows(((k, [plain(texts[k][2])]) for k, n in enumerate(holds) if n < LEAST_WIDTH), run)
+        # every run of plain letters, whatever the word breaks around it
+        self.runs = Windows(((k, [plain(x)]) for k, (_, _, x) in enumerate(texts)), run)
         self.grams: dict[str, set[int]] = defaultdict(set)
         for item, _, t in texts:
             p = plain(t)
@@ -116,6 +122,19 @@ class Items:
             self.odd.meet([plain(t) for t in texts], found)
         return found
 
+    def shared_runs(self, letters: list[str]) -> dict[int, set[int]]:
+        """Number of a document, given by its plain letters -> the items that share a run with it."""
+        found: dict[int, set[int]] = defaultdict(set)
+        self.runs.meet(letters, found)
+        out = {}
+        for d in found:
+            p, got = letters[d], set()
+            for i in range(len(p) - self.run + 1):
+                if (g := self.grams.get(p[i : i + self.run])) is not None:
+                    got |= g
+            out[d] = got
+        return out
+
 
 class Windows:
     """Hashed windows of numbered streams, with a bitmap in front."""
@@ -216,23 +235,19 @@ def leaks(docs: DataFrame, items: DataFrame, mode: str = "exact") -> DataFrame:
             for pdf in batches:
                 rows = []
                 for chunk in _chunks(pdf):
+                    if mode == "exact":
+                        for d, got in it.shared_runs([plain(t) for _, t in chunk]).items():
+                            rows += [(chunk[d][0], i) for i in got]
+                        continue
                     made = [it.templates.template(t) for _, t in chunk]
                     for d, ks in it.hits(["".join(m) for m in made], [t for _, t in chunk]).items():
                         doc, text = chunk[d]
-                        if mode == "exact":
-                            near = {it.texts[k][0] for k in ks}
-                            p, got = plain(text), set()
-                            for i in range(len(p) - it.run + 1):
-                                if (g := it.grams.get(p[i : i + it.run])) is not None:
-                                    got |= g
-                            rows += [(doc, i) for i in got & near]
-                        else:
-                            w = it.templates.words(text)
-                            for k in ks:
-                                item, part, t = it.texts[k]
-                                n, lit, good, alike = slots(it.streams[k], it.templates.words(t), made[d], w)
-                                if n >= 8 and lit >= 5 and good:
-                                    rows.append((doc, item, part, n, lit, "copied" if alike else "reparameterised"))
+                        w = it.templates.words(text)
+                        for k in ks:
+                            item, part, t = it.texts[k]
+                            n, lit, good, alike = slots(it.streams[k], it.templates.words(t), made[d], w)
+                            if n >= 8 and lit >= 5 and good:
+                                rows.append((doc, item, part, n, lit, "copied" if alike else "reparameterised"))
                 yield pd.DataFrame(rows, columns=names)
 
         out = out.unionByName(docs.select("doc_id", "text").mapInPandas(find, schema))

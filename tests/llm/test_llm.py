@@ -295,6 +295,13 @@ def test_leaks_of_nothing(spark):
     assert leaked(spark, []).count() == 0
 
 
+def test_leaks_whatever_the_word_breaks(spark):
+    q = ITEMS[0][2]
+    camel = "".join(w.capitalize() for w in q.split())
+    docs = [(1, "See " + q.replace(" ", ""), 0), (2, camel, 0), (3, camel.upper() + " end", 0), (4, " ".join(q), 0), (5, "-".join(camel), 0), (6, " ".join(leaks.plain(q)[:59]), 0), (7, q.replace(" ", "")[:50], 0)]
+    assert {(r.doc_id, r.item_id) for r in leaked(spark, docs).collect()} == {(i, 1) for i in range(1, 6)}
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 
