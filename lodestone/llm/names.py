@@ -150,9 +150,9 @@ def pivots(words: DataFrame, rule: str = ATTESTED) -> DataFrame:
             yield pd.DataFrame(rows, columns=["space", "word", "n", "d"])
 
     keys = words.mapInPandas(neighbourhood, "space string, word string, n long, d string")
-    # the three best attested words of each key are enough: a better pivot than all three can't be missed, a lesser one isn't wanted
-    best = keys.groupBy("space", "d").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.col("word").alias("pivot"))), asc=False), 1, 4).alias("tops"))
-    pairs = keys.join(best, ["space", "d"]).select("space", "word", "n", F.explode("tops").alias("p")).where(f"p.pivot <> word and ({rule})").distinct()
+    # all words of a key: two of them can be two edits apart, so the best attested need not be near; a key holds at most (length + 1) x alphabet words
+    held = keys.select("space", "d", F.struct("n", F.col("word").alias("pivot")).alias("p"))
+    pairs = keys.join(held, ["space", "d"]).select("space", "word", "n", "p").where(f"p.pivot <> word and ({rule})").distinct()
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

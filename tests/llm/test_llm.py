@@ -161,6 +161,14 @@ def test_linked_names(spark):
     assert empty.count() == 0
 
 
+def test_pivots_of_a_dense_key(spark):
+    counts = {"karin": 90, "marin": 80, "darin": 70, "larin": 60, "sarin": 50, "arvin": 40, "arxin": 1}  # all hold "arin"
+    words = spark.createDataFrame([("c", w, n) for w, n in counts.items()], "space string, word string, n long")
+    got = {r.word: r.pivot for r in names.pivots(words).collect()}
+    near = lambda w: max((n, p) for p, n in counts.items() if p != w and n >= 2 * counts[w] and edits(w, p) <= 1)[1]
+    assert got == {"arxin": near("arxin")} == {"arxin": "arvin"}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 DELIVERY = "row_no long, id string, citation_count int, venue string, abstract string, source_record_id string, loaded_at timestamp_ntz, source string, n long"
