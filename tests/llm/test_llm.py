@@ -126,12 +126,21 @@ def test_one_edit(a, b):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("Univ. of Zorbal", ("uni", "zorbal", "")), ("ZORBAL UNIVERSITY; visiting researcher", ("uni", "zorbal", "")), ("Group 3, Zörbal Inst. of Tech., Quaxton", ("it", "zorbal", "quaxton")), ("n/a", ("", "", "")), (None, ("", "", ""))],
+    [("University of Zorbal", ["university", "zorbal"]), ("Dept. of Informatics, ZORBÁL Data-Works Ltd.", ["zorbal", "data", "works", "ltd"]), ("n/a", []), (None, []), ("", []), ("Zorbal Univ. (main site); visiting researcher", ["zorbal", "univ"])],
 )
 def test_read_organisation(text, want):
     assert names.read_organisation(text) == want
 
 
+def test_short_forms():
+    common = {"university": 90, "univ": 20, "universitat": 9, "u": 5, "data": 40, "works": 41, "dataworks": 8, "foundation": 50, "fdn": 9, "laboratory": 30, "lab": 31, "limited": 20, "ltd": 5}
+    got = names.short_forms(common)
+    assert got["univ"] == got["universitat"] == got["u"] == ["university"]
+    assert got["dataworks"] == ["data", "works"] and got["fdn"] == ["foundation"] and got["ltd"] == ["limited"]
+    assert got["laboratory"] == got["lab"] and got["foundation"] == ["foundation"]
+    assert names.short_forms({}) == {}
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("Dr. Ann B. Lee", (["ann", "lee"], ["b"], "")), ("Lee, Ann (corresponding)", (["lee", "ann"], [], "lee")), ("A. B. Lee", (["lee"], ["a", "b"], "")), ("", ([], [], "")), (None, ([], [], ""))],
@@ -161,6 +170,43 @@ def test_linked_names(spark):
     assert empty.count() == 0
 
 
+def entities(spark, people, orgs=(), nick=()):
+    a = spark.createDataFrame(people, "id string, name string, affiliation_text string, orcid string")
+    o = spark.createDataFrame(list(orgs), "id string, name string, homepage string")
+    return {r.id: r.entity for r in names.linked(a, o, spark.createDataFrame(list(nick), "nick string, given_name string")).collect()}
+
+
+def test_names_of_many_words_and_chains_of_codes(spark):
+    o1, o2 = "0000-0000-0000-0001", "0000-0000-0000-0002"
+    people = [
+        ("a1", "Ana Bel Cid Dor Eva", "Zorbal University", None), ("a2", "Ana Bel Cid Dor Zoe", "Zorbal University", None), ("a3", "ana bel cid dor eva", "University of Zorbal", None),
+        ("b1", "Quillan Marsden", "Zorbal University", o1), ("b2", "Tamsin Orbell", "Kestrel Institute", o1), ("b3", "Tamsin Orbell", "Kestrel Institute", o2), ("b4", "Wilmot Erskine", None, o2), ("b5", "Wilmot Erskine", "", None),
+    ]
+    e = entities(spark, people)
+    assert e["a1"] == e["a3"] != e["a2"]
+    assert len({e[x] for x in ("b1", "b2", "b3", "b4", "b5")}) == 1
+
+
+def test_organisations_of_any_kind(spark):
+    orgs = [("o1", "OpenLantern", "https://openlantern.example"), ("o2", "OpenLantern", "http://www.openlantern.example/"), ("o3", "UQ", "https://a.example"), ("o4", "UQ", "https://b.example"), ("o5", None, None), ("o6", "", None)]
+    orgs += [(f"k{i}", t, None) for i, t in enumerate(["Tamber Gallery of Modern Art", "Tamber Gallery Modern Art", "Tamber College of Music", "Orlin Gallery of Modern Art", "Orlin College of Music", "Pesk College of Music", "Pesk Gallery of Modern Art"])]
+    e = entities(spark, [], orgs)
+    assert e["o1"] == e["o2"] and e["o3"] != e["o4"] and e["o5"] != e["o6"]
+    assert e["k0"] == e["k1"] != e["k2"] and e["k0"] != e["k3"]
+
+
+def test_people_without_an_organisation(spark):
+    people = [
+        ("a", "Marigold Fentworth", "Zorbal University", None), ("b", "Marigold Fentworth", None, None), ("c", "Mari Fentworth", "-", None), ("d", "Marigold Fentwroth", "n/a", None),
+        ("e", "P. Ostwald", "Zorbal University", None), ("f", "Peregrin Ostwald", None, None), ("g", "postwald", "University of Zorbal", None),
+        ("h", "Ida Quill", "Zorbal University", None), ("i", "Ida Quill", "Kestrel Institute", None), ("j", "Ida Quill", None, None),
+    ]
+    e = entities(spark, people)
+    assert e["a"] == e["b"] == e["c"] == e["d"]
+    assert e["e"] == e["f"] == e["g"]
+    assert e["h"] != e["i"] and e["j"] not in (e["h"], e["i"])  # two persons fit: none is taken
+
+
 def test_pivots_of_a_dense_key(spark):
     counts = {"karin": 90, "marin": 80, "darin": 70, "larin": 60, "sarin": 50, "arvin": 40, "arxin": 1}  # all hold "arin"
     words = spark.createDataFrame([("c", w, n) for w, n in counts.items()], "space string, word string, n long")
