@@ -1,22 +1,31 @@
 """Matching entities across sources without keys: BM25 over all attributes, mutual nearest, calibrated confidence.
 
-Every record is a bag of terms over all its attributes: title words, the halves of long words (they survive a typo), and
-each identifier. An inverted index scores pairs of records of different sources. Its inverse document frequency is floored:
-a term in more than ``COMMON`` classes of equal records says nothing on identity and weighs zero. Top-k pruning is exact:
-a record's lightest terms whose weights together stay below the least score that counts are never used to retrieve (two
-records that reach that score share a term that neither side leaves out), but they do count in the score.
+Every record is a bag of terms over all its attributes: title words, the whole title, beginnings of the title (a title may
+be broken off) and each identifier. Weights are BM25's, with the inverse document frequency over all classes of equal
+records. An inverted index finds the pairs of different sources whose shared word weight reaches ``SHARE`` of either
+record's own, beside those that share an identifier, a whole title or a beginning.
+
+Top-k pruning is exact. A record's terms are ordered from rare to frequent; of the terms that a pair shares, the first one
+is followed by terms of at least the weight that is still needed, so a record enters the index only under its first terms.
+A key held by more than ``CROWD`` classes is not read as a list but made longer by each further term that could still reach
+the weight, again and again, until its lists are short. Pairs that share a long list's key and nothing more tie with more
+than ``TOP`` rivals of one source; their confidence is divided by the number of ties, so they could never be reported.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import table, written
 
-#: A term of more classes than this weighs zero; least score that counts.
-COMMON, LEAST = 50, 1.2
+#: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list that is read as it is.
+TOP, SHARE, CROWD = 10, 0.5, 60
 K1, B = 1.2, 0.4
+#: Beginnings of a title are taken at these numbers of words.
+HEADS = (3, 5, 8, 12, 20, 40)
 #: titles' words that make a work of its own, and identifiers of collections.
 PART_WORDS = "part|parts|vol|volume|edition|ed|round|chapter|series|issue|no|number|version|phase|stage|book|year"
 SUCCESSORS = "replication|reproduction|reproducibility|revisited|revisiting|extended|erratum|corrigendum|addendum|retraction|reply|response|comment|comments|commentary|followup|sequel|supplement|update|updated|preface|continued|reanalysis"
@@ -69,51 +78,97 @@ def records(papers: DataFrame) -> DataFrame:
     return one.select("id", "src", F.coalesce("t.title", F.lit("")).alias("title"), F.coalesce("t.cut", F.lit(False)).alias("cut"), "doi", "arx", "oa")
 
 
-def _terms() -> Column:
+def _words() -> Column:
     words = F.array_distinct(F.filter(F.split("title", " "), lambda w: F.length(w) > 2))
-    long = F.filter(words, lambda w: F.length(w) >= 9)
-    heads = F.transform(long, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 6)))
-    tails = F.transform(long, lambda w: F.concat(F.lit(">"), F.right(w, F.lit(6))))
+    return F.when(F.size(words) > 0, words).when(F.col("title") != "", F.array_distinct(F.split("title", " "))).otherwise(F.array().cast("array<string>"))
+
+
+def _keys() -> Column:
+    """What two records may share as a whole: identifiers, the title, its beginnings."""
     ids = F.array_compact(F.array(F.concat(F.lit("d:"), "doi"), F.concat(F.lit("a:"), "arx"), F.concat(F.lit("o:"), "oa")))
     whole = F.when(F.col("title") != "", F.array(F.concat(F.lit("t="), F.md5("title")))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, heads, tails, ids, whole))
+    ws = F.split("title", " ")
+    heads = F.array_compact(F.array(*[F.when(F.size(ws) >= n, F.concat(F.lit(f"{n}="), F.md5(F.array_join(F.slice(ws, 1, n), " ")))) for n in HEADS]))
+    return F.concat(ids, whole, heads)
 
 
-def index(recs: DataFrame, common: int = COMMON, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal records with their weighted terms (``rid``, ``src``, ..., ``terms`` heaviest last, ``first``: how many are too light to retrieve), and the members (``id``, ``rid``)."""
+def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal records with weighted words (``rid``, ``src``, ..., ``terms`` heaviest first, ``own``, ``need``, ``words`` in the title), and the members (``id``, ``rid``)."""
     keyed = written(recs.withColumn("rid", F.xxhash64("src", "title", "cut", F.coalesce("doi", F.lit("")), F.coalesce("arx", F.lit("")), F.coalesce("oa", F.lit("")))), "records")
     classes = keyed.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("src", "title", "cut", "doi", "arx", "oa")])
-    postings = classes.select("rid", "src", F.explode(_terms()).alias("t"))
-    df = postings.groupBy("t").agg(F.count("*").alias("df"), F.min("src").alias("lo"), F.max("src").alias("hi")).where((F.col("df") <= common) & (F.col("lo") != F.col("hi")))
-    idf = F.log(F.lit(float(common + 1)) / (F.col("df") + 0.5)) * F.when(F.substring("t", 2, 1) == ":", 2.0).when(F.substring("t", 1, 1).isin("<", ">"), 0.5).otherwise(1.0)
-    weighted = postings.join(df, "t").select("rid", F.struct(idf.alias("w"), "t").alias("x"))
-    terms = weighted.groupBy("rid").agg(F.array_sort(F.collect_list("x")).alias("terms"))  # as many as one record has
-    run = F.expr(f"aggregate(terms, struct(0D as s, 0 as n), (a, x) -> struct(a.s + x.w as s, if(a.s + x.w < {least}D, a.n + 1, a.n) as n), a -> a.n)")
-    return written(classes.join(terms, "rid").withColumn("light", run), "index"), keyed.select("id", "rid")
+    classes = written(classes.withColumn("ws", _words()), "classes")
+    n = float(classes.count())
+    postings = classes.select("rid", "src", F.explode("ws").alias("t"))
+    # a word of one source can be shared by no pair
+    df = postings.groupBy("t").agg(F.count("*").alias("df"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = postings.join(df, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(idf.alias("w"), "t", "df")), False).alias("terms"))  # as many as one title has
+    none = F.expr("cast(array() as array<struct<w: double, t: string, df: bigint>>)")
+    out = classes.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none)).withColumn("words", F.size("ws")).drop("ws")
+    out = out.withColumn("own", F.expr("aggregate(terms, 0D, (a, x) -> a + x.w)")).withColumn("need", F.col("own") * share)
+    return written(out, "index"), keyed.select("id", "rid")
+
+
+#: Further terms of a record (``terms``) after place ``last`` whose own weight and that of all after them still reach ``need``.
+_FURTHER = "filter(sequence(last + 1, size(terms) - 1), j -> aggregate(slice(terms, j + 1, size(terms)), 0D, (a, x) -> a + x.w) >= need - 1e-9)"
+
+
+def _longer(rows: DataFrame) -> DataFrame:
+    """Rows of (``rid``, ``src``, ``key``, ``last``, ``need``, ``terms``) -> one row per term that makes the key longer."""
+    ext = rows.where("last + 1 < size(terms)").withColumn("j", F.explode(F.expr(_FURTHER)))
+    x = F.expr("terms[j]")
+    return ext.select("rid", "src", F.xxhash64("key", x["t"]).alias("key"), F.col("j").alias("last"), (F.col("need") - x["w"]).alias("need"))
+
+
+def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
+    """Pairs of classes of different sources that count: ``a`` < ``b``."""
+    arrays = idx.select("rid", "src", "terms", "need")
+    whole = idx.select("rid", "src", F.explode(F.array_distinct(_keys())).alias("k")).select("rid", "src", F.xxhash64(F.lit(0).cast("long"), "k").alias("key"), F.lit(0).alias("last"), F.lit(0.0).alias("need"))
+    rows = written(whole, "keys")
+    grow = written(_longer(arrays.select("rid", "src", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms")), "keys")
+    lists, further = [], False
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
+        short = rows.join(sizes.where(F.col("n") <= crowd).select("key"), "key", "left_semi").select("key", "rid", "src")
+        long = written(rows.join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi"), "long-lists")
+        # in a long list only sources with few records can still be told apart
+        few = long.groupBy("key", "src").agg(F.count("*").alias("c")).where(F.col("c") <= top).select("key", "src")
+        lists += [short, long.where("need <= 1e-9").join(few, ["key", "src"], "left_semi").select("key", "rid", "src")]
+        if not further:  # what is shared as a whole isn't made longer: its words are
+            rows, further = grow, True
+            continue
+        if not long.limit(1).count():
+            break
+        rows = written(_longer(long.join(idx.select("rid", "terms"), "rid")), "keys")
+    every = lists[0]
+    for x in lists[1:]:
+        every = every.unionByName(x)
+    left, right = every.toDF("key", "a", "sa"), every.toDF("key", "b", "sb")
+    return left.join(right, "key").where("a < b and sa <> sb").select("a", "b").distinct()
 
 
-def candidates(idx: DataFrame) -> DataFrame:
-    """Pairs of classes of different sources that can reach the least score: ``a`` < ``b``."""
-    post = idx.select("rid", "src", F.explode(F.expr("slice(terms, light + 1, size(terms))")).alias("x")).select("rid", "src", "x.t")
-    left, right = post.toDF("a", "sa", "t"), post.toDF("b", "sb", "t")
-    return left.join(right, "t").where("a < b and sa <> sb").select("a", "b").distinct()
+def identifier_weight(n: float) -> float:
+    """The weight of an identifier: that of a term of one other record."""
+    return math.log(1 + n / 1.5)
 
 
 def scored(idx: DataFrame) -> DataFrame:
     """Candidates with their features: ``score`` (BM25 over shared terms, relative to the lesser record's own), shared and conflicting identifiers, title agreement."""
-    cols = ("rid", "src", "title", "cut", "doi", "arx", "oa", "terms")
-    side = lambda s: idx.select(*[F.col(c).alias(f"{c}_{s}") for c in cols], F.expr("aggregate(terms, 0D, (a, y) -> a + y.w)").alias(f"own_{s}"))
+    cols = ("rid", "src", "title", "cut", "doi", "arx", "oa", "terms", "own", "words")
+    side = lambda s: idx.select(*[F.col(c).alias(f"{c}_{s}") for c in cols])
+    average = float(idx.agg(F.avg("words")).first()[0] or 1.0)
+    n = float(idx.count())
     pairs = candidates(idx).join(side("a"), F.col("a") == F.col("rid_a")).join(side("b"), F.col("b") == F.col("rid_b"))
     gained = F.expr("aggregate(array_intersect(terms_a, terms_b), 0D, (s, y) -> s + y.w)")
-    norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.size(f"terms_{s}") / 8.0))
+    # titles hold a word once, as a rule: a term frequency of one, set against the title's length
+    norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
     same = sum((F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
     differ = sum((F.coalesce((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
-    out = pairs.select("a", "b", "src_a", "src_b", gained.alias("gained"), (gained * F.sqrt(norm("a") * norm("b"))).alias("score"), same.alias("same"), differ.alias("differ"), "title_a", "title_b", (F.col("cut_a") | F.col("cut_b")).alias("cut"))
-    out = out.where(F.col("gained") >= LEAST)
+    out = pairs.select("a", "b", "src_a", "src_b", (gained * F.sqrt(norm("a") * norm("b"))).alias("plain"), (gained * F.sqrt(norm("a") * norm("b")) + same * float(identifier_weight(n))).alias("score"), same.alias("same"), differ.alias("differ"), "title_a", "title_b", (F.col("cut_a") | F.col("cut_b")).alias("cut"))
     la, lb = F.length("title_a"), F.length("title_b")
     short, n = F.least(la, lb), F.greatest(la, lb)
-    # distances are measured up to 30 % and 200 characters; beyond that the titles are as far apart as can be
-    edits = lambda x, y, n: F.expr(f"levenshtein({x}, {y}, cast(least(200, ceil(0.3 * {n})) as int))")
+    # a distance beyond 30 % of the characters is "as far apart as can be" by definition: no such pair is one work
+    edits = lambda x, y, n: F.expr(f"levenshtein({x}, {y}, cast(ceil(0.3 * {n}) as int))")
     share = lambda e, n: F.when(e < 0, F.lit(1.0)).otherwise(e / F.greatest(n, F.lit(1)))
     l, g = "least(length(title_a), length(title_b))", "greatest(length(title_a), length(title_b))"
     whole = share(edits("title_a", "title_b", g), n)
@@ -126,70 +181,71 @@ def scored(idx: DataFrame) -> DataFrame:
     )
 
 
-#: Pairs of less confidence are not reported as found.
-CONFIDENT = 0.1
-#: Two titles are one up to this share of edited characters.
-TITLE = 0.09
+#: Pairs of less confidence are not linked; above 1 / TOP, so that no pair beyond ``TOP`` ties could be.
+CONFIDENT = 0.4
 
 
 def with_gaps(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``open`` (not ruled out), ``gap`` and ``mutual``.
+    """Pairs with ``open`` (not ruled out), ``gap``, ``ties``, ``nearest`` (by title alone, on both sides) and ``mutual``.
 
     A pair is ruled out if its titles have different markers or its identifiers conflict while none is shared. The gap is
-    a pair's score less the best other score of either side in the same other source, relative to the pair's, the lesser of
-    both sides; -1 at least. Mutual: none of the pairs not ruled out scores higher on either side.
+    a pair's title score less the best other title score of either side in the same other source, relative to the pair's,
+    the lesser of both sides; -1 at least. Mutual: none of the pairs not ruled out scores higher on either side. Ties: how
+    many open pairs of one side score the same, the greater of both sides.
     """
     told = pairs.withColumn("open", (F.col("same") > 0) | ((F.col("differ") == 0) & ~F.col("apart")))
-    both = told.selectExpr("a as x", "src_b as other", "a", "b", "score", "open").unionByName(told.selectExpr("b as x", "src_a as other", "a", "b", "score", "open"))
+    both = told.selectExpr("a as x", "src_b as other", "a", "b", "plain", "score", "open").unionByName(told.selectExpr("b as x", "src_a as other", "a", "b", "plain", "score", "open"))
     by = Window.partitionBy("x", "other")
-    order = by.orderBy(F.desc("score"))
-    ranked = both.select("a", "b", "score", "open", F.row_number().over(order).alias("r"), F.first("score").over(order).alias("best"), F.lead("score").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(by).alias("top"))
+    order = by.orderBy(F.desc("plain"))
+    ranked = both.select("a", "b", "x", "other", "plain", "score", "open", F.row_number().over(order).alias("r"), F.first("plain").over(order).alias("best"), F.lead("plain").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(by).alias("top"))
+    nearest = F.col("plain") >= F.col("best")
     rival = F.when(F.col("r") == 1, F.coalesce("next", F.lit(0.0))).otherwise(F.col("best"))
-    gap = F.greatest((F.col("score") - rival) / F.col("score"), F.lit(-1.0))
-    sides = ranked.groupBy("a", "b").agg(F.min(gap).alias("gap"), F.bool_and(F.col("open") & (F.col("score") >= F.col("top"))).alias("mutual"))
+    gap = F.when(F.col("plain") > 0, F.greatest((F.col("plain") - rival) / F.col("plain"), F.lit(-1.0))).otherwise(F.lit(-1.0))
+    first = F.col("open") & (F.col("score") >= F.col("top"))
+    ranked = ranked.select("a", "b", gap.alias("gap"), nearest.alias("nearest"), first.alias("first"), F.count_if(first).over(by).alias("ties"))
+    sides = ranked.groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("first").alias("mutual"), F.bool_and("nearest").alias("nearest"), F.max("ties").alias("ties"))
     return told.join(sides, ["a", "b"])
 
 
-def _fit(cells: list[tuple[float, float, float, float]], rounds: int = 25) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge over weighted cells (gap, distance, trues, falses)."""
+def _fit(cells: list[tuple[float, float, float, float]], rounds: int = 25) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a small ridge over weighted cells (gap, distance, trues, falses): weights of 1, gap, distance and equal titles."""
     import numpy as np
 
+    beta = prior = np.array([1.0, 2.0, -20.0, 0.0])
     if not cells:
-        return 1.0, 2.0, -20.0
+        return tuple(prior.tolist())
     c = np.array(cells, float)
-    x = np.column_stack([np.ones(len(c)), c[:, 0], c[:, 1]])
-    beta = np.array([1.0, 2.0, -20.0])
-    prior = beta.copy()
+    x = np.column_stack([np.ones(len(c)), c[:, 0], c[:, 1], c[:, 1] == 0])
     n = c[:, 2] + c[:, 3]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (c[:, 2] - n * p) - 1.0 * (beta - prior)
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(3)
+        grad = x.T @ (c[:, 2] - n * p) - (beta - prior)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(4)
         step = np.linalg.solve(hess, grad)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(float(b) for b in beta)
+    return tuple(beta.tolist())
 
 
 def matches(papers: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``, ``confidence`` (0 to 1) of every pair of ids of different sources that are one work.
 
-    Links are pairs that share an identifier, or mutually nearest ones whose titles agree; two links through a third
-    record make a pair too, unless it is ruled out. Null or blank titles match by identifiers only. An id sent in several
-    rows is one record (its longest title, its greatest identifiers). Ties are all kept; their gap, and so their
-    confidence, is low. Copies of a record are one class until the end.
+    Links are mutually nearest pairs of confidence ``CONFIDENT`` or more. What the gap and the distance of the titles say is
+    fitted to pairs whose identifiers tell; each shared identifier leaves a tenth of the doubt; ties divide it. Two links
+    through a third record make a pair too, unless it is ruled out. Null or blank titles match by identifiers only. An id
+    sent in several rows is one record (its longest title, its greatest identifiers). Copies of a record are one class
+    until the end.
     """
     idx, members = index(records(papers))
-    pairs = written(scored(idx), "scored")
-    near = written(with_gaps(pairs), "near")
-    cell = lambda c: F.round(F.least(F.col(c), F.lit(1.0)) * 20) / 20
+    near = written(with_gaps(written(scored(idx), "scored")), "near")
+    cell = lambda c: F.ceil(F.least(F.col(c), F.lit(1.0)) * 50) / 50  # noqa: E731  (0 only for equal titles)
     # what identifiers tell, wherever they tell: counts in cells of gap and title distance, whatever the number of pairs
-    seen = near.where("not apart and (same > 0 or differ > 0)").groupBy(cell("gap").alias("g"), cell("far").alias("f")).agg(F.count_if(F.col("same") > 0).alias("t"), F.count("*").alias("n"))
-    beta = _fit([(r.g, r.f, float(r.t), float(r.n - r.t)) for r in seen.collect()])
-    title_says = F.lit(1.0) / (1 + F.exp(-(beta[0] + beta[1] * F.col("gap") + beta[2] * F.col("far"))))
-    conf = F.when(F.col("same") > 0, 1 - (1 - title_says) * F.pow(F.lit(0.1), F.col("same"))).otherwise(title_says)
-    links = near.where(f"same > 0 or (mutual and far <= {TITLE})").select("a", "b", F.round(conf, 6).alias("confidence"))
+    seen = near.where("nearest and not apart and (same > 0 or differ > 0)").groupBy(cell("gap").alias("g"), cell("far").alias("f")).agg(F.count_if(F.col("same") > 0).alias("t"), F.count("*").alias("n"))
+    beta = _fit([(r.g, r.f, float(r.t), float(r.n - r.t)) for r in seen.collect()])  # at most 101 x 51 cells
+    title_says = F.lit(1.0) / (1 + F.exp(-(beta[0] + beta[1] * F.col("gap") + beta[2] * F.col("far") + beta[3] * (F.col("far") == 0).cast("int"))))
+    conf = (1 - (1 - title_says) * F.pow(F.lit(0.1), F.col("same"))) / F.greatest("ties", F.lit(1))
+    links = near.where("mutual").select("a", "b", F.round(conf, 6).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
     links = written(links, "links")
     # two links through a third record
     way = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
@@ -208,7 +264,7 @@ def matches(papers: DataFrame) -> DataFrame:
 
 def p2_found(spark, root: str) -> DataFrame:
     """Pairs of paper ids that are one work, of confidence ``CONFIDENT`` or more."""
-    return matches(table(spark, root, "papers")).where(f"confidence >= {CONFIDENT}").select("id_a", "id_b")
+    return matches(table(spark, root, "papers")).where(F.col("confidence") >= CONFIDENT).select("id_a", "id_b")
 
 
 def p2_matches(spark, root: str) -> DataFrame:
