@@ -84,12 +84,19 @@ def _words() -> Column:
 
 
 def _keys() -> Column:
-    """What two records may share as a whole: identifiers, the title, its beginnings."""
+    """What two records may share as a whole: identifiers and the title."""
     ids = F.array_compact(F.array(F.concat(F.lit("d:"), "doi"), F.concat(F.lit("a:"), "arx"), F.concat(F.lit("o:"), "oa")))
     whole = F.when(F.col("title") != "", F.array(F.concat(F.lit("t="), F.md5("title")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(ids, whole)
+
+
+def _beginnings(idx: DataFrame) -> DataFrame:
+    """Every title's beginnings (``key``, ``rid``, ``src``); ``asks`` marks the longest one of a title that may itself be another's beginning."""
     ws = F.split("title", " ")
-    heads = F.array_compact(F.array(*[F.when(F.size(ws) >= n, F.concat(F.lit(f"{n}="), F.md5(F.array_join(F.slice(ws, 1, n), " ")))) for n in HEADS]))
-    return F.concat(ids, whole, heads)
+    whole = F.size(ws) - F.col("cut").cast("int")  # the last word of a title that was broken off may be a part
+    each = idx.where("title <> ''").select("rid", "src", ws.alias("ws"), whole.alias("whole"), F.explode(F.array(*map(F.lit, HEADS))).alias("n")).where("n <= size(ws)")
+    longest = F.array_max(F.filter(F.array(*map(F.lit, HEADS)), lambda n: n <= F.col("whole")))
+    return each.select(F.xxhash64("n", F.array_join(F.slice("ws", 1, F.col("n")), " ")).alias("key"), "rid", "src", (F.col("n") == longest).alias("asks"))
 
 
 def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -122,29 +129,30 @@ def _longer(rows: DataFrame) -> DataFrame:
 
 def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
     """Pairs of classes of different sources that count: ``a`` < ``b``."""
-    arrays = idx.select("rid", "src", "terms", "need")
+    pairs = lambda x, y: x.toDF("key", "a", "sa").join(y.toDF("key", "b", "sb"), "key").where("sa <> sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The lists that are short, with what can be told apart of the long ones; and the long ones."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
+        sized = written(rows.join(sizes.select("key", "n"), "key"), "lists")
+        long = sized.where(F.col("n") > crowd)
+        few = long.where("need <= 1e-9").withColumn("c", F.count("*").over(Window.partitionBy("key", "src"))).where(F.col("c") <= top)
+        return sized.where(F.col("n") <= crowd).select("key", "rid", "src").unionByName(few.select("key", "rid", "src")), long.drop("n")
+
     whole = idx.select("rid", "src", F.explode(F.array_distinct(_keys())).alias("k")).select("rid", "src", F.xxhash64(F.lit(0).cast("long"), "k").alias("key"), F.lit(0).alias("last"), F.lit(0.0).alias("need"))
-    rows = written(whole, "keys")
-    grow = written(_longer(arrays.select("rid", "src", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms")), "keys")
-    lists, further = [], False
+    lists, _ = read(whole)  # what is shared as a whole isn't made longer: its words are
+    rows = _longer(idx.select("rid", "src", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"))
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
-        short = rows.join(sizes.where(F.col("n") <= crowd).select("key"), "key", "left_semi").select("key", "rid", "src")
-        long = written(rows.join(sizes.where(F.col("n") > crowd).select("key"), "key", "left_semi"), "long-lists")
-        # in a long list only sources with few records can still be told apart
-        few = long.groupBy("key", "src").agg(F.count("*").alias("c")).where(F.col("c") <= top).select("key", "src")
-        lists += [short, long.where("need <= 1e-9").join(few, ["key", "src"], "left_semi").select("key", "rid", "src")]
-        if not further:  # what is shared as a whole isn't made longer: its words are
-            rows, further = grow, True
-            continue
+        short, long = read(rows)
+        lists = lists.unionByName(short)
         if not long.limit(1).count():
             break
-        rows = written(_longer(long.join(idx.select("rid", "terms"), "rid")), "keys")
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
-    left, right = every.toDF("key", "a", "sa"), every.toDF("key", "b", "sb")
-    return left.join(right, "key").where("a < b and sa <> sb").select("a", "b").distinct()
+        rows = _longer(long.join(idx.select("rid", "terms"), "rid"))
+    heads = _beginnings(idx)
+    sizes = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") <= crowd) & (F.col("n") > 1))
+    heads = heads.join(sizes.select("key"), "key")
+    both = pairs(lists, lists).unionByName(pairs(heads.where("asks").select("key", "rid", "src"), heads.select("key", "rid", "src")))
+    return both.where("a <> b").distinct()
 
 
 def identifier_weight(n: float) -> float:
@@ -154,17 +162,20 @@ def identifier_weight(n: float) -> float:
 
 def scored(idx: DataFrame) -> DataFrame:
     """Candidates with their features: ``score`` (BM25 over shared terms, relative to the lesser record's own), shared and conflicting identifiers, title agreement."""
-    cols = ("rid", "src", "title", "cut", "doi", "arx", "oa", "terms", "own", "words")
-    side = lambda s: idx.select(*[F.col(c).alias(f"{c}_{s}") for c in cols])
     average = float(idx.agg(F.avg("words")).first()[0] or 1.0)
     n = float(idx.count())
-    pairs = candidates(idx).join(side("a"), F.col("a") == F.col("rid_a")).join(side("b"), F.col("b") == F.col("rid_b"))
+    # first by numbers alone
+    light = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"))
     gained = F.expr("aggregate(array_intersect(terms_a, terms_b), 0D, (s, y) -> s + y.w)")
     # titles hold a word once, as a rule: a term frequency of one, set against the title's length
     norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
+    pairs = candidates(idx).join(light("a"), "a").join(light("b"), "b")
+    pairs = written(pairs.select("a", "b", "src_a", "src_b", (gained * F.sqrt(norm("a") * norm("b"))).alias("plain")), "pairs")
+    side = lambda s: idx.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("title", "cut", "doi", "arx", "oa")])
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     same = sum((F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
     differ = sum((F.coalesce((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
-    out = pairs.select("a", "b", "src_a", "src_b", (gained * F.sqrt(norm("a") * norm("b"))).alias("plain"), (gained * F.sqrt(norm("a") * norm("b")) + same * float(identifier_weight(n))).alias("score"), same.alias("same"), differ.alias("differ"), "title_a", "title_b", (F.col("cut_a") | F.col("cut_b")).alias("cut"))
+    out = pairs.select("a", "b", "src_a", "src_b", "plain", (F.col("plain") + same * float(identifier_weight(n))).alias("score"), same.alias("same"), differ.alias("differ"), "title_a", "title_b", (F.col("cut_a") | F.col("cut_b")).alias("cut"))
     la, lb = F.length("title_a"), F.length("title_b")
     short, n = F.least(la, lb), F.greatest(la, lb)
     # a distance beyond 30 % of the characters is "as far apart as can be" by definition: no such pair is one work
