@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..session import table, written
 
-#: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list that is read as it is.
-TOP, SHARE, CROWD = 10, 0.5, 60
+#: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list that is read as it is, by words and by identifiers or titles.
+TOP, SHARE, CROWD, DIRECT = 10, 0.6, 20, 60
 K1, B = 1.2, 0.4
 #: Beginnings of a title are taken at these numbers of words.
 HEADS = (3, 5, 8, 12, 20, 40)
@@ -128,10 +128,10 @@ def _longer(rows: DataFrame) -> DataFrame:
 
 
 def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
-    """Pairs of classes of different sources that count: ``a`` < ``b``."""
+    """Pairs of classes of different sources: ``a`` < ``b``, ``direct`` if they share an identifier, a whole title or a beginning."""
     pairs = lambda x, y: x.toDF("key", "a", "sa").join(y.toDF("key", "b", "sb"), "key").where("sa <> sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def read(rows: DataFrame, crowd: int = crowd) -> tuple[DataFrame, DataFrame]:
         """The lists that are short, with what can be told apart of the long ones; and the long ones."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
         sized = written(rows.join(sizes.select("key", "n"), "key"), "lists")
@@ -140,7 +140,8 @@ def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
         return sized.where(F.col("n") <= crowd).select("key", "rid", "src").unionByName(few.select("key", "rid", "src")), long.drop("n")
 
     whole = idx.select("rid", "src", F.explode(F.array_distinct(_keys())).alias("k")).select("rid", "src", F.xxhash64(F.lit(0).cast("long"), "k").alias("key"), F.lit(0).alias("last"), F.lit(0.0).alias("need"))
-    lists, _ = read(whole)  # what is shared as a whole isn't made longer: its words are
+    whole, _ = read(whole, DIRECT)  # what is shared as a whole isn't made longer: its words are
+    lists = whole.limit(0)
     rows = _longer(idx.select("rid", "src", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"))
     while True:
         short, long = read(rows)
@@ -149,10 +150,11 @@ def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
             break
         rows = _longer(long.join(idx.select("rid", "terms"), "rid"))
     heads = _beginnings(idx)
-    sizes = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") <= crowd) & (F.col("n") > 1))
+    sizes = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") <= DIRECT) & (F.col("n") > 1))
     heads = heads.join(sizes.select("key"), "key")
-    both = pairs(lists, lists).unionByName(pairs(heads.where("asks").select("key", "rid", "src"), heads.select("key", "rid", "src")))
-    return both.where("a <> b").distinct()
+    direct = pairs(whole, whole).unionByName(pairs(heads.where("asks").select("key", "rid", "src"), heads.select("key", "rid", "src")))
+    both = pairs(lists, lists).withColumn("direct", F.lit(False)).unionByName(direct.withColumn("direct", F.lit(True)))
+    return both.where("a <> b").groupBy("a", "b").agg(F.bool_or("direct").alias("direct"))
 
 
 def identifier_weight(n: float) -> float:
@@ -165,12 +167,14 @@ def scored(idx: DataFrame) -> DataFrame:
     average = float(idx.agg(F.avg("words")).first()[0] or 1.0)
     n = float(idx.count())
     # first by numbers alone
-    light = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"))
+    light = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
     gained = F.expr("aggregate(array_intersect(terms_a, terms_b), 0D, (s, y) -> s + y.w)")
     # titles hold a word once, as a rule: a term frequency of one, set against the title's length
     norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
     pairs = candidates(idx).join(light("a"), "a").join(light("b"), "b")
-    pairs = written(pairs.select("a", "b", "src_a", "src_b", (gained * F.sqrt(norm("a") * norm("b"))).alias("plain")), "pairs")
+    pairs = pairs.withColumn("gained", gained).where("direct or gained >= greatest(need_a, need_b) - 1e-9")
+    pairs = pairs.select("a", "b", "src_a", "src_b", (F.col("gained") * F.sqrt(norm("a") * norm("b"))).alias("plain"))
+    pairs = written(pairs, "pairs")
     side = lambda s: idx.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("title", "cut", "doi", "arx", "oa")])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     same = sum((F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))

@@ -231,7 +231,7 @@ def test_survivors(spark):
         (6, "none", None, None, "", None, None, None, None), (7, "none", -5, "unknown", "See PDF.", "", None, None, None),
         (8, None, 1, "x", "y.", None, t(1), None, None), (9, None, 1, "x", "y.", None, t(1), None, None),
     ]
-    rows += [(100 + i, f"q{i // 2}", 4, "Journal of Things", "Some whole text here.", "source:arxiv:2", t(1), None, None) for i in range(60)]
+    rows += [(100 + i, f"q{i // 2}", 4, "Journal of Things", f"Whole text {i // 2} here.", "source:arxiv:2", t(1), None, None) for i in range(60)]
     df = spark.createDataFrame(rows, DELIVERY)
     out = {r.id: r for r in survivor.survivors(df).collect()}
     assert (out["p"].citation_count_row, out["p"].venue_row, out["p"].abstract_row) == (2, 1, 1)
@@ -246,6 +246,21 @@ def test_survivors(spark):
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
+def test_an_abstract_of_many_works_is_none_of_them(spark):
+    """The model changes the rows: by form alone the shared text would survive, as it is the longest."""
+    t = lambda d: TS(2024, 1, d)
+    note = "The publisher of this record holds the text back. Please consult the landing page."
+    rows = [(10 * i + k, f"paper:s{k}:{i}", 4, "Journal", (note if k else f"Own text number {i}."), f"source:s{k}:1", t(1), None, None) for i in range(30) for k in (0, 0, 1, 1)]
+    rows += [(1000 + i, "paper:s0:0", 1, "Journal", note, "source:s0:1", t(2), None, None) for i in range(2)]
+    df = spark.createDataFrame(rows, DELIVERY)
+    got = {r.id: r.abstract_row for r in survivor.survivors(df).collect()}
+    assert got["paper:s0:0"] == 0 and got["paper:s1:3"] is None and got["paper:s0:7"] == 70
+    formal = df.where(survivor.form_test("abstract", df.abstract)).where("id = 'paper:s0:0'").orderBy("row_no").collect()
+    assert max(formal, key=lambda r: len(r.abstract)).row_no == 1000
+    values = {(r.field, r.value): r.deliveries for r in survivor.true_values(df).where("paper_id = 'paper:s0:0'").collect()}
+    assert values == {("abstract", "Own text number 0."): 2, ("venue", "Journal"): 4, ("citation_count", "4"): 2, ("citation_count", "1"): 2}
+
+
 def plain_boundary(text, limit):
     """The levels as stated, line by line."""
     lines = [x for x in __import__("re").split(r"(?<=\n)|(?<=\r)(?!\n)", text) if x]
