@@ -7,9 +7,11 @@ small by nature; it is taken in blocks of items so that what is broadcast stays
 document's template by hash. The window is as long as can be while every run of ``RUN`` letters and digits of any item
 still holds a whole window.
 
-Templates depend on where words begin and end, so exact runs don't go through them: windows of ``RUN`` plain letters and
-digits meet by hash and are checked letter by letter. No such run can be missed, also if spaces are lost or put between
-letters.
+Names and units depend on where words begin and end, numbers don't. Exact runs therefore go through the template of the
+letters and digits alone, in which every number is a placeholder, whatever breaks stand around or within: windows of
+``WIDTH`` template characters meet by hash, and a pair that meets is a leak if the slots are filled alike, that is, if a run
+of ``RUN`` letters and digits is the same. Every such run holds a window, except runs that are mostly digits; items with such
+a run are met by whole runs as well. No run can be missed.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import functions as F
 from ..session import table
 from .rolling import codes, windows
 
-RUN, ITEM_BLOCK, CHARS, LEAST_WIDTH = 60, 5_000, 1_000_000, 8
+RUN, ITEM_CHARS, CHARS, LEAST_WIDTH, WIDTH = 60, 1_000_000, 1_000_000, 8, 24
 #: Words taken for units wherever they stand.
 UNITS = frozenset("ms s sec secs second seconds min minute minutes hour hours day days week weeks month months year years kb mb gb tb token tokens percent cents dollars usd eur km cm mm kg hz khz mhz ghz".split())
 NUMBER, NAME, UNIT, BREAK = "\ue000", "\ue001", "\ue002", "\ue003"
 _WORDS = re.compile(r"\d+|[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _FORMAT = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
 _DROP_ASCII = bytes(i for i in range(128) if not chr(i).isalnum())
 
@@ -43,6 +46,11 @@ def plain(text: str) -> str:
     return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).casefold()))
 
 
+def numbered(letters: str) -> str:
+    """The template of plain letters and digits: every number is one placeholder."""
+    return _DIGITS.sub(NUMBER, letters)
+
+
 class Templates:
     """Turns texts into templates, given the words that the evaluation items use as names and as plain words."""
 
@@ -95,8 +103,10 @@ class Items:
         self.table = Windows(enumerate(self.streams), self.width)
         # texts with a run whose whole words hold next to no template (one very long word) are met by their plain letters
         self.odd = Windows(((k, [plain(texts[k][2])]) for k, n in enumerate(holds) if n < LEAST_WIDTH), run)
-        # every run of plain letters, whatever the word breaks around it
-        self.runs = Windows(((k, [plain(x)]) for k, (_, _, x) in enumerate(texts)), run)
+        letters = [plain(x) for _, _, x in texts]
+        self.numbered = Windows(((k, [numbered(p)]) for k, p in enumerate(letters)), WIDTH)
+        digits = [k for k, p in enumerate(letters) if any(len(numbered(p[i : i + run])) < WIDTH for i in range(len(p) - run + 1))]
+        self.digits = Windows(((k, [letters[k]]) for k in digits), run)
         self.grams: dict[str, set[int]] = defaultdict(set)
         for item, _, t in texts:
             p = plain(t)
@@ -123,16 +133,18 @@ class Items:
         return found
 
     def shared_runs(self, letters: list[str]) -> dict[int, set[int]]:
-        """Number of a document, given by its plain letters -> the items that share a run with it."""
+        """Number of a document, given by its plain letters -> the items that share a template window with it and fill its slots alike over a run."""
         found: dict[int, set[int]] = defaultdict(set)
-        self.runs.meet(letters, found)
+        self.numbered.meet([numbered(p) for p in letters], found)
+        if len(self.digits.hashes):
+            self.digits.meet(letters, found)
         out = {}
         for d in found:
             p, got = letters[d], set()
             for i in range(len(p) - self.run + 1):
                 if (g := self.grams.get(p[i : i + self.run])) is not None:
                     got |= g
-            out[d] = got
+            out[d] = got & {self.texts[k][0] for k in found[d]}
         return out
 
 
@@ -202,15 +214,15 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[list[tuple]]:
 
 
 def _blocks(items: DataFrame) -> Iterator[Items]:
-    """The items in blocks of a bounded number. Null and empty texts share nothing."""
-    rows, last = [], None
+    """The items in blocks of a bounded number of characters. Null and empty texts share nothing."""
+    rows, last, size = [], None, 0
     parts = items.select("item_id", F.posexplode(F.array("query", "answer_outline")).alias("part", "text")).where("text is not null and item_id is not null")
     for r in parts.distinct().orderBy("item_id", "part").toLocalIterator():
-        if len(rows) >= 2 * ITEM_BLOCK and r.item_id != last:
+        if size > ITEM_CHARS and r.item_id != last:
             yield Items(rows)
-            rows = []
+            rows, size = [], 0
         rows.append((r.item_id, r.part, r.text))
-        last = r.item_id
+        last, size = r.item_id, size + len(r.text)
     if rows:
         yield Items(rows)
 
