@@ -37,8 +37,8 @@ def issue_risks(d: Spark, text: str) -> str:
 
 #: Base scores of the kinds of sources, and tiers.
 SOURCE_BASE = {
-    "api_metadata": 0.9, "paper_full_text": 0.88, "official_repo_readme": 0.82, "sample_fixture": 0.8, "official_repo_docs": 0.78,
-    "model_or_dataset_card": 0.74, "repo_release": 0.7, "repo_issue": 0.55, "unknown": 0.5, "blog_post": 0.45, "llm_inferred": 0.2,
+    "api_metadata": 0.9, "paper_full_text": 0.88, "official_repo_readme": 0.82, "official_repo_docs": 0.78, "repo_release": 0.7, "repo_issue": 0.55,
+    "model_or_dataset_card": 0.74, "blog_post": 0.45, "llm_inferred": 0.2, "sample_fixture": 0.8, "unknown": 0.5,
 }
 TIERS = ((0.82, "high"), (0.62, "medium"), (0.4, "low"))
 
@@ -90,8 +90,8 @@ def combined(**features: str) -> str:
 
 #: Weights of edge types in a path's score.
 EDGE_WEIGHTS = {
-    "CLAIMS": 0.95, "SUPPORTED_BY": 0.95, "IMPLEMENTS": 0.88, "INTRODUCES": 0.86, "EVALUATES_ON": 0.82, "USES_METHOD": 0.78, "BELONGS_TO_COMMUNITY": 0.74,
-    "HAS_CHUNK": 0.72, "MENTIONS": 0.66, "CITES": 0.64, "CONTRADICTS": 0.58, "SIMILAR_TO": 0.52, "POSSIBLE_DUPLICATE": 0.25,
+    "CLAIMS": 0.95, "SUPPORTED_BY": 0.95, "IMPLEMENTS": 0.88, "INTRODUCES": 0.86, "USES_METHOD": 0.78, "BELONGS_TO_COMMUNITY": 0.74, "EVALUATES_ON": 0.82,
+    "HAS_CHUNK": 0.72, "MENTIONS": 0.66, "CITES": 0.64, "SIMILAR_TO": 0.52, "CONTRADICTS": 0.58, "POSSIBLE_DUPLICATE": 0.25,
 }
 
 

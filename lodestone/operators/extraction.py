@@ -30,7 +30,9 @@ rd1 as ({first_of(d, 'repo_documents', 'id', ('repo_id', 'doc_type', 'text', 'ur
 src as (
   select id as source_id, 'Paper' as label, {T.clean(d, 'abstract')} as text, source_url as url, source_record_id as record_id from p1 where {T.clean(d, 'abstract')} <> ''
   union all
-  select lower(trim(repo_id)), 'RepoDocument', {T.clean(d, 'text')}, url, source_record_id from rd1 where {T.clean(d, 'text')} <> '' and repo_id is not null),
+  select id, 'Repo', {T.clean(d, 'description')}, url, source_record_id from r1 where {T.clean(d, 'description')} <> ''
+  union all
+  select lower(trim(repo_id)), case when lower(doc_type) = 'issue' then 'Issue' when lower(doc_type) in ('release', 'release_notes', 'changelog') then 'Release' else 'RepoDocument' end, {T.clean(d, 'text')}, url, source_record_id from rd1 where {T.clean(d, 'text')} <> '' and repo_id is not null),
 chunks as (select source_id, label, text, min(url) as url, min(record_id) as record_id, concat('chunk:', {T.hash_list(d, 'source_id', 'text')}) as chunk_id from src group by source_id, label, text)"""
 
 
@@ -54,20 +56,21 @@ def methods_in(d: Spark, text: str, methods=L.CORPUS_METHODS) -> str:
 @book.query
 def method_extract(d):
     """Methods by pattern: the span is the first alias, in the order of aliases, that the text has."""
-    unions = []
+    found = []
     for name, aliases, category in L.CORPUS_METHODS:
-        spans = " ".join(f"when instr(lower(text), {d.lit(a)}) > 0 then substring(text, cast(instr(lower(text), {d.lit(a)}) as int), {len(a)})" for a in aliases)
-        unions.append(f"select chunk_id, '{name}' as name, '{category}' as category, case {spans} end as source_span, 0.84e0 as confidence from chunks")
-    return f"with {sources(d)} select * from ({' union all '.join(unions)}) where source_span is not null"
+        spans = " ".join(f"when instr(low, {d.lit(a)}) > 0 then substring(text, cast(instr(low, {d.lit(a)}) as int), {len(a)})" for a in aliases)
+        found.append(d.struct(name=f"'{name}'", category=f"'{category}'", source_span=f"case {spans} end"))
+    return f"""with {sources(d)}, x as (select chunk_id, {d.explode(d.array(*found))} as m from (select chunk_id, text, lower(text) as low from chunks))
+        select chunk_id, m.name as name, m.category as category, m.source_span as source_span, 0.84e0 as confidence from x where m.source_span is not null"""
 
 
 def _keyword(d, rows, columns) -> str:
-    unions = []
+    found = []
     for word, *values in rows:
-        given = ", ".join(f"'{v}' as {c}" for v, c in zip(values, columns, strict=True))
-        hit = d.at(d.keep(d.sentences("text"), "s", f"contains(lower(s), {d.lit(word)})"), 0)
-        unions.append(f"select chunk_id, {given}, coalesce({hit}, '{word}') as source_span from chunks where contains(lower(text), {d.lit(word)})")
-    return f"with {sources(d)} {' union all '.join(unions)}"
+        hit = d.at(d.keep("s", "y", f"contains(lower(y), {d.lit(word)})"), 0)
+        found.append(d.struct(**{c: f"'{v}'" for c, v in zip(columns, values, strict=True)}, source_span=f"case when contains(low, {d.lit(word)}) then coalesce({hit}, '{word}') end"))
+    return f"""with {sources(d)}, x as (select chunk_id, {d.explode(d.array(*found))} as m from (select chunk_id, lower(text) as low, {d.sentences('text')} as s from chunks))
+        select chunk_id, {', '.join(f'm.{c} as {c}' for c in columns)}, m.source_span as source_span from x where m.source_span is not null"""
 
 
 @book.query
@@ -92,8 +95,8 @@ picked as (select *, case when {d.size(hits)} > 0 then {d.slice(hits, 3)} else {
 flat as (select source_id, label, chunk_id, url, record_id, {d.explode('c')} as text from picked),
 claims as (
   select source_id, label, chunk_id, min(url) as url, min(record_id) as record_id, text, concat('claim:', {T.hash_list(d, 'source_id', 'text')}) as claim_id,
-    case when label = 'RepoDocument' then 'documentation' when {T.any_word(d, low, ('benchmark', 'evaluation', 'faithfulness'))} then 'benchmark'
-         when {T.any_word(d, low, ('limitation', 'risk', 'challenge'))} then 'limitation' else 'architecture' end as claim_type,
+    case when label = 'Issue' then 'repo_risk' when label = 'Release' then 'release_signal' when label in ('Model', 'Dataset') then 'asset_metadata' when label = 'RepoDocument' then 'documentation' when {T.any_word(d, low, ('benchmark', 'evaluation', 'faithfulness'))} then 'benchmark'
+         when {T.any_word(d, low, ('limitation', 'risk', 'challenge'))} then 'limitation' when label = 'Repo' then 'adoption' else 'architecture' end as claim_type,
     case when {T.any_word(d, low, L.CAUTION_WORDS)} then 'caution' when {T.any_word(d, low, L.POSITIVE_WORDS)} then 'positive' else 'neutral' end as polarity,
     case label {' '.join(f"when '{k}' then {v}e0" for k, v in L.CLAIM_CONFIDENCE.items())} else 0.65e0 end as confidence
   from flat where text <> '' group by source_id, label, chunk_id, text)"""

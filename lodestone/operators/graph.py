@@ -63,40 +63,47 @@ nodes as (select id, 'Paper' as label from p1 union all select id, 'Repo' from r
   union all select distinct chunk_id, 'DocumentChunk' from chunks union all select distinct claim_id, 'Claim' from claims union all {fixed})"""
 
 
+def whole(d: Spark) -> str:
+    """CTEs ``edges`` and ``nodes``."""
+    return f"{edges(d)}, {nodes(d)}"
+
+
+on_graph = lambda b: b.over(whole, "edges", "nodes")
+
+
 def _edge_query(kind: str):
     def make(d):
-        return f"with {edges(d)} select start_id, end_id, confidence from edges where type = '{kind}'"
+        return f"select start_id, end_id, confidence from edges where type = '{kind}'"
 
     make.__name__ = f"edges_{kind.lower()}"
     make.__doc__ = f"Edges of type {kind}."
-    book.query(make)
+    on_graph(book)(make)
 
 
 for _kind in ("HAS_CHUNK", "CLAIMS", "SUPPORTED_BY", "INTRODUCES", "USES_METHOD", "IMPLEMENTS", "MENTIONS", "EVALUATES_ON", "BELONGS_TO_COMMUNITY"):
     _edge_query(_kind)
 
 
-@book.query
+@on_graph(book)
 def graph_stats(d):
     """Nodes by label and edges by type, with totals, in one pass each."""
-    return f"""with {edges(d)}, {nodes(d)}
-        select 'node' as kind, coalesce(label, 'all') as name, count(*) as n from nodes group by grouping sets ((label), ())
+    return """select 'node' as kind, coalesce(label, 'all') as name, count(*) as n from nodes group by grouping sets ((label), ())
         union all select 'relationship', coalesce(type, 'all'), count(*) from edges group by grouping sets ((type), ())"""
 
 
-@book.query
+@on_graph(book)
 def referential_filter(d):
     """Edges whose two ends exist, by type, beside all."""
-    return f"""with {edges(d)}, {nodes(d)}, ids as (select distinct id from nodes),
+    return f"""with ids as (select distinct id from nodes),
         kept as (select e.type from edges e left semi join ids a on a.id = e.start_id left semi join ids b on b.id = e.end_id),
         k as (select type, count(*) as kept from kept group by type), a as (select type, count(*) as edges from edges group by type)
         select a.type, a.edges, coalesce(k.kept, 0) as kept from a left join k on k.type = a.type""".replace("left semi join", "semi join" if d.name == "duck" else "left semi join")
 
 
-@book.query
+@on_graph(book)
 def unique_nodes(d):
     """The uniqueness constraint as a query: ids held by several nodes."""
-    return f"with {edges(d)}, {nodes(d)} select id, count(*) as n from nodes group by id having count(*) > 1"
+    return f"select id, count(*) as n from nodes group by id having count(*) > 1"
 
 
 @book.query
@@ -118,14 +125,21 @@ def authored_by_groups(d):
 
 @book.query
 def edges_affiliated_with(d):
-    """Authors whose affiliation contains an organisation's name: exact phrases of up to six words, joined by hash instead of tested pair by pair."""
-    words = d.split(T.clean(d, "affiliation_text"), " ")
-    return f"""with a1 as ({first_of(d, 'authors', 'id', ('affiliation_text',))}), o1 as ({first_of(d, 'organizations', 'id', ('name',))}),
-        o as (select id, {T.clean(d, 'name')} as name from o1 where {T.clean(d, 'name')} <> ''),
-        w as (select id, {words} as ws from a1 where {T.clean(d, 'affiliation_text')} <> ''),
-        s as (select id, ws, {d.explode(d.range(d.size('ws')))} as i from w), n as (select id, ws, i, {d.explode(d.range('6'))} as k from s),
-        g as (select distinct id, {d.join(('slice(ws, i + 1, k + 1)' if d.name == 'spark' else 'ws[i + 1:i + k + 1]'), ' ')} as phrase from n where i + k < {d.size('ws')})
-        select g.id as author_id, count(*) as organizations, min(o.id) as first_organization from g join o on o.name = {d.replace('g.phrase', '[,;]+$', '')} group by g.id"""
+    """Authors whose affiliation contains the name of an organisation of the same source record (names of any length, at word breaks).
+
+    Candidates meet in the record and the name's rarest word; the whole name is then looked for.
+    """
+    words = lambda x: d.distinct(d.split(x, " "))
+    pad = lambda x: d.cat("' '", x, "' '")
+    plain = lambda x: T.clean(d, d.replace(f"lower({T.txt(x)})", "[,;()]+", " "))
+    return f"""with a1 as ({first_of(d, 'authors', 'id', ('affiliation_text', 'source_record_id'))}), o1 as ({first_of(d, 'organizations', 'id', ('name', 'source_record_id'))}),
+        o as (select id, lower(trim(source_record_id)) as rec, {plain('name')} as name from o1 where {plain('name')} <> '' and coalesce(trim(source_record_id), '') <> ''),
+        a as (select lower(trim(source_record_id)) as rec, {plain('affiliation_text')} as aff, id from a1 where {plain('affiliation_text')} <> '' and coalesce(trim(source_record_id), '') <> ''),
+        ow as (select id, rec, name, {d.explode(words('name'))} as w from o), n as (select w, count(*) as n from ow group by w),
+        key as (select ow.id, ow.rec, ow.name, {d.least_by('ow.w', d.order('n.n', 'ow.w'))} as w from ow join n on n.w = ow.w group by ow.id, ow.rec, ow.name),
+        texts as (select distinct rec, aff from a), aw as (select rec, aff, {d.explode(words('aff'))} as w from texts),
+        hit as (select distinct aw.rec, aw.aff, key.id as org from aw join key on key.rec = aw.rec and key.w = aw.w where contains({pad('aw.aff')}, {pad('key.name')}))
+        select a.id as start_id, hit.org as end_id, 0.7e0 as confidence from a join hit on hit.rec = a.rec and hit.aff = a.aff"""
 
 
 @book.query
@@ -169,41 +183,43 @@ def edges_similar_methods(d):
 
 @book.query
 def edges_contradicts(d):
-    """Positive and cautionary claims of a method, factored: counts, product, and the most confident of each side."""
-    best = lambda p: d.least_by(f"case when polarity = '{p}' then claim_id end", f"case when polarity = '{p}' then claim_id end")
-    return f"""with {sources(d)}, {claims(d)}, {named(d)}, c as (select distinct claim_id, polarity, method_id from claim_methods)
-        select method_id, count(case when polarity = 'positive' then 1 end) as positive, count(case when polarity = 'caution' then 1 end) as caution,
-          count(case when polarity = 'positive' then 1 end) * count(case when polarity = 'caution' then 1 end) as pairs,
+    """Positive and cautionary claims that share a token, factored by token: claims of both sides, and the first of each. Two claims contradict if any token has both."""
+    return f"""with {sources(d)}, {claims(d)}, t as (select distinct claim_id, polarity, {d.explode(T.token_set(d, 'text'))} as token from claims where polarity in ('positive', 'caution'))
+        select token, count(case when polarity = 'positive' then 1 end) as positive, count(case when polarity = 'caution' then 1 end) as caution,
           min(case when polarity = 'positive' then claim_id end) as first_positive, min(case when polarity = 'caution' then claim_id end) as first_caution
-        from c group by method_id"""
+        from t group by token having count(distinct polarity) = 2"""
 
 
 @book.query
 def node_text(d):
-    """The text of a repository node: its non-empty fields in fixed order."""
-    parts = ", ".join(f"nullif({x}, '')" for x in ("full_name", "name", "description", d.join("topics", " ")))
-    return f"select row_no, concat_ws(' ', {parts}) as text, {d.size(T.token_set(d, f'concat_ws({chr(39)} {chr(39)}, {parts})'))} as tokens from repos"
+    """The text of a record's node: its non-empty fields in fixed order, for papers, repositories, organisations and repository documents."""
+    fields = {"papers": ("title", "abstract"), "repos": ("name", "full_name", "description", d.join("topics", " ")), "organizations": ("name",), "repo_documents": ("title", "text")}
+    one = lambda t, cols: f"select '{t}' as table_name, row_no, concat_ws(' ', {', '.join(f'nullif({c}, {chr(39) * 2})' for c in cols)}) as text from {t}"
+    return f"select table_name, row_no, {d.sha('text')} as text_hash, {d.chars('text')} as chars, {d.size(T.token_set(d, 'text'))} as tokens from ({' union all '.join(one(t, c) for t, c in fields.items())})"
 
 
-@book.query
+@on_graph(book)
 def load_batches(d):
     """The load plan: rows per label or type, in batches of 500."""
-    return f"""with {edges(d)}, {nodes(d)}, k as (select 'node' as kind, label as name, count(*) as n from nodes group by label union all select 'relationship', type, count(*) from edges group by type)
+    return f"""with k as (select 'node' as kind, label as name, count(*) as n from nodes group by label union all select 'relationship', type, count(*) from edges group by type)
         select kind, name, n, cast(ceil(n / 500e0) as bigint) as batches, n - (cast(ceil(n / 500e0) as bigint) - 1) * 500 as last_batch from k"""
 
 
-@book.query
+@on_graph(book)
 def cypher_export(d):
-    """The export: one MERGE line per edge."""
+    """The export: one MERGE line per node, then one per edge."""
     q = "chr(34)"
-    return f"""with {edges(d)} select {d.cat("'MATCH (a {id: '", q, 'start_id', q, "'}), (b {id: '", q, 'end_id', q, "'}) MERGE (a)-[:'", T.cypher_name(d, 'type'), "']->(b);'")} as line from edges where type in ('INTRODUCES', 'IMPLEMENTS')"""
+    text = lambda x: d.cat(q, f"replace(replace({x}, chr(92), {d.cat('chr(92)', 'chr(92)')}), {q}, {d.cat('chr(92)', q)})", q)
+    return f"""select 0 as part, {d.cat("'MERGE (n:'", T.cypher_name(d, 'label'), "' {id: '", text('id'), "'});'")} as line from nodes
+        union all select 1, {d.cat("'MATCH (a {id: '", text('start_id'), "'}), (b {id: '", text('end_id'), "'}) MERGE (a)-[:'", T.cypher_name(d, 'type'), "']->(b);'")} from edges"""
 
 
-@book.query
+@on_graph(book)
 def corpus_counts(d):
-    """Rows and distinct ids of every record table."""
+    """Rows and distinct ids of every record table and of what is derived from them."""
     one = [f"select '{t}' as table_name, count(*) as n, count(distinct id) as ids from {t}" for t in ("papers", "authors", "organizations", "repos", "repo_documents", "source_records", "embedding_records")]
-    return " union all ".join(one)
+    graph = [f"select '{x}', count(*), count(distinct id) from nodes where label = '{x}'" for x in ("DocumentChunk", "Claim", "Method", "Benchmark", "Dataset", "Community")]
+    return " union all ".join([*one, *graph, "select 'edges', count(*), count(distinct concat(start_id, type, end_id)) from edges"])
 
 
 @book.query

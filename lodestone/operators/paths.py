@@ -41,7 +41,7 @@ def expansion(d: Spark, anchors: str, hops: int = HOPS) -> str:
             f"x{k + 1} as (select x.anchor, {d.cat('x.path', d.array('b.dst'))} as path, {d.cat('x.types', d.array('b.label'))} as types, {d.cat('x.ranks', d.array('b.rk'))} as ranks"
             f" from x{k} x join b on b.src = {d.at('x.path', k)} where not {d.has('x.path', 'b.dst')})"
         )
-    every = " union all ".join(f"select *, cast({k} as bigint) as depth from x{k}" for k in range(hops + 1))
+    every = " union all ".join(f"select anchor, path, types, ranks, cast({k} as bigint) as depth from x{k}" for k in range(hops + 1))
     empty = "cast(array() as array<string>)" if d.name == "spark" else "cast([] as varchar[])"
     none = "cast(array() as array<bigint>)" if d.name == "spark" else "cast([] as bigint[])"
     if d.name == "duck":
@@ -54,6 +54,19 @@ x0 as (select id as anchor, {d.array('id')} as path, {empty} as types, {none} as
 paths as (select anchor, path, types, depth, cast(place as bigint) as place from (select *, row_number() over (partition by anchor order by depth, ranks) as place from ({every})) where place <= {PATHS})"""
 
 
+def _stages(d: Spark, hops: int = HOPS) -> list[tuple[str, str]]:
+    """Edges and paths as stages: each is derived once."""
+    e = graph(d).strip()
+    text = expansion(d, _anchors(d), hops).strip()
+    first, rest = text.split("\npaths as (", 1)
+    ways, fan = first.index("b as ("), first.index("x0 as (")
+    return [
+        ("e", e[e.index("(") + 1 : e.rindex(")")]),
+        ("b", f"with {first[:ways].rstrip().rstrip(',')} " + first[ways:fan].strip().rstrip(",")[len("b as (") : -1]),
+        ("paths", f"with {first[fan:].strip().rstrip(',')} " + rest[: rest.rindex(")")]),
+    ]
+
+
 def _anchors(d: Spark) -> str:
     return f"select distinct {d.cat(chr(39) + 'supplier:' + chr(39), d.cast_text('s_suppkey'))} as id from supplier"
 
@@ -64,40 +77,36 @@ def decorated(d: Spark, path: str = "path", types: str = "types") -> str:
     return d.join(d.map(d.range(d.size(path)), "i", part), ">")
 
 
-@book.query
+@book.staged
 def path_expand(d):
     """Every path of every supplier."""
-    return f"with {graph(d)}, {expansion(d, _anchors(d))} select anchor, place, depth, {decorated(d)} as path from paths"
+    return _stages(d), f"select anchor, place, depth, {decorated(d)} as path from paths"
 
 
-@book.query
+def _steps(d: Spark, broken: bool = False) -> str:
+    """CTE ``st(anchor, place, kind, s, t)``: the hops of all paths as edges; one in ten broken on purpose if asked for."""
+    to = d.at("path", "i + 1")
+    to = f"case when (place + i) % 10 = 0 then 'part:0' else {to} end" if broken else to
+    kind = d.replace("label", "^<-", "")
+    return f"""hops as (select anchor, place, {d.explode(d.range('depth'))} as i, path, types from paths),
+        steps as (select anchor, place, {d.at('path', 'i')} as a, {to} as b, {d.at('types', 'i')} as label from hops),
+        st as (select anchor, place, {kind} as kind, case when label like '<-%' then b else a end as s, case when label like '<-%' then a else b end as t from steps)"""
+
+
+@book.staged
 def path_score(d):
     """Mean score of a path's hops with the penalty on length, its quality and confidence."""
-    hops = f"hops as (select anchor, place, {d.explode(d.range('depth'))} as i, path, types from paths)"
-    step = f"steps as (select anchor, place, {d.at('path', 'i')} as a, {d.at('path', 'i + 1')} as b, {d.at('types', 'i')} as label from hops)"
-    kind = d.replace("label", "^<-", "")
-    score = f"""scored as (select st.anchor, st.place, {S.hop_score(kind, 'e.confidence', 'cast(null as double)')} as hop, e.confidence
-        from steps st join e on e.type = {kind} and ((e.s = st.a and e.t = st.b and st.label not like '<-%') or (e.s = st.b and e.t = st.a and st.label like '<-%')))"""
-    joined = f"""scored as (select st.anchor, st.place, {S.hop_score('st.kind', 'e.confidence', 'cast(null as double)')} as hop, e.confidence
-        from (select anchor, place, {kind} as kind, case when label like '<-%' then b else a end as s, case when label like '<-%' then a else b end as t from steps) st
-        join e on e.type = st.kind and e.s = st.s and e.t = st.t)"""
-    del score
-    return f"""with {graph(d)}, {expansion(d, _anchors(d))}, {hops}, {step}, {joined},
-        m as (select anchor, place, avg(hop) as hop, avg(confidence) as confidence from scored group by anchor, place)
-        select p.anchor, p.place, round(case when p.depth = 0 then 0.15e0 else m.hop * {S.length_penalty('(p.depth + 1)')} end, 6) as path_score,
+    return _stages(d), f"""select p.anchor, p.place, round(case when p.depth = 0 then 0.15e0 else m.hop * {S.length_penalty('(p.depth + 1)')} end, 6) as path_score,
           {S.path_quality('(p.depth + 1)', 'false', 'true')} as path_quality, round(coalesce(m.confidence, 0.75e0), 6) as confidence
-        from paths p left join m on m.anchor = p.anchor and m.place = p.place"""
+        from paths p left join (with {_steps(d)}, scored as (select st.anchor, st.place, {S.hop_score('st.kind', 'e.confidence', 'cast(null as double)')} as hop, e.confidence from st join e on e.type = st.kind and e.s = st.s and e.t = st.t)
+          select anchor, place, avg(hop) as hop, avg(confidence) as confidence from scored group by anchor, place) m on m.anchor = p.anchor and m.place = p.place"""
 
 
-@book.query
+@book.staged
 def path_validity(d):
     """Share of hops of every anchor's paths that are edges, one hop in ten broken on purpose."""
-    kind = d.replace("label", "^<-", "")
-    return f"""with {graph(d)}, {expansion(d, _anchors(d))}, hops as (select anchor, place, {d.explode(d.range('depth'))} as i, path, types from paths),
-        steps as (select anchor, place, i, {d.at('path', 'i')} as a, case when (place + i) % 10 = 0 then 'part:0' else {d.at('path', 'i + 1')} end as b, {d.at('types', 'i')} as label from hops),
-        st as (select anchor, place, {kind} as kind, case when label like '<-%' then b else a end as s, case when label like '<-%' then a else b end as t from steps),
-        bad as (select distinct st.anchor, st.place from st left join e on e.type = st.kind and e.s = st.s and e.t = st.t where e.s is null)
-        select p.anchor, count(*) as paths, count(*) - count(bad.place) as valid from paths p left join bad on bad.anchor = p.anchor and bad.place = p.place where p.depth > 0 group by p.anchor"""
+    return _stages(d), f"""select p.anchor, count(*) as paths, count(*) - count(bad.place) as valid from paths p left join (with {_steps(d, True)}
+          select distinct st.anchor, st.place from st left join e on e.type = st.kind and e.s = st.s and e.t = st.t where e.s is null) bad on bad.anchor = p.anchor and bad.place = p.place where p.depth > 0 group by p.anchor"""
 
 
 @book.query
@@ -126,9 +135,7 @@ def edge_between(d):
         select a, b, {d.least_by('type', d.order('dir', 'type'))} as type, min(dir) = 1 as backward from o group by a, b"""
 
 
-@book.query
+@book.staged
 def component_paths(d):
     """Paths carried on to the region (community) of any node on them."""
-    return f"""with {graph(d)}, {expansion(d, _anchors(d), 2)}, n as (select anchor, place, {d.explode('path')} as node from paths),
-        c as (select distinct n.anchor, n.place, e.t as community from n join e on e.type = 'PART_OF' and e.s = n.node)
-        select anchor, place, community from c"""
+    return _stages(d, 2), f"""select distinct n.anchor, n.place, e.t as community from (select anchor, place, {d.explode('path')} as node from paths) n join e on e.type = 'PART_OF' and e.s = n.node"""

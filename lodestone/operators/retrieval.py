@@ -6,10 +6,9 @@ never touched. Nodes are the documents. Norms are kept per node, not per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 
+from ..functions import lexicon as L
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.dialect import SPARK, Spark
@@ -30,7 +29,16 @@ SHORT, SHORT_BUDGET, MIXED_BUDGET = 5, 8, 10
 NO_EVIDENCE = "I do not have enough retrieved evidence to answer this query."
 BEST_SUPPORTED = "The best-supported answer is grounded in the retrieved claims and source chunks: "
 CAUTION = "Retrieved evidence includes cautionary or limitation language; treat recommendation as conditional."
+NO_DATA = "No explicit benchmark or dataset node was retrieved for the top evidence chain."
 NO_REPOSITORY = "No implementation repository was retrieved in the top evidence."
+NO_CONFLICT = "No direct conflicts detected in retrieved evidence."
+RECOMMEND = (
+    "Evaluate the linked implementation first, but require a small reproduction pass and repo-health review before adoption.",
+    "Use the claim evidence for research prioritization, then ingest linked repos before an engineering decision.",
+    "Treat the answer as exploratory until stronger claim and implementation evidence is available.",
+)
+CHECKS = ("Open the saved Cypher evidence-path query in Neo4j Browser.", "Inspect raw source records for the cited spans.")
+CHECK_DATA, CHECK_REPOSITORY = "Add benchmark or dataset extraction for the target method.", "Run GitHub ingestion for implementation evidence."
 ASK_EVIDENCE, ASK_RISKS = ("What claim and source evidence supports ", " for: "), ("Which implementation or production risks are linked to ", "?")
 #: Fusion and diversity.
 RRF_K, HYBRID_MIX, LIST_MIX, MMR = 60, (0.74, 0.26), (0.62, 0.38), 0.72
@@ -204,13 +212,17 @@ def answers(spark, root):
     return sql(spark, root, f"""
       with c as (select m.item_id, m.doc_id, m.score, x.text, x.doc_kind, row_number() over (partition by m.item_id order by m.mmr_score desc, m.doc_id) as rk from mmr_ m join documents x on x.doc_id = m.doc_id),
       g as (select item_id, round(avg(score), 3) as confidence, array_sort(collect_list(struct(rk, doc_id, {T.compact(d, 'text', 180)} as span))) as cs,
-              bool_or({T.any_word(d, "lower(coalesce(text, ''))", ('risk', 'limitation', 'challenge', 'stale'))}) as caution, bool_or(doc_kind in ('readme', 'release_notes', 'issue')) as repo
+              bool_or({T.any_word(d, "lower(coalesce(text, ''))", ('risk', 'limitation', 'challenge', 'stale'))}) as caution, bool_or(doc_kind in ('readme', 'release_notes', 'issue')) as repo,
+              bool_or({T.any_word(d, "lower(coalesce(text, ''))", ('benchmark', 'dataset', 'leaderboard'))}) as data, bool_or({T.any_word(d, "lower(coalesce(text, ''))", L.CLAIM_WORDS)}) as claim
             from c where rk <= 6 group by item_id)
       select i.item_id, {route(d, 'i.query')} as route, coalesce(g.confidence, 0e0) as confidence,
         case when g.item_id is null then '{NO_EVIDENCE}' else concat('{BEST_SUPPORTED}', array_join(transform(slice(cs, 1, 3), x -> x.span), '; ')) end as answer,
         coalesce(transform(cs, x -> x.doc_id), array()) as citations,
-        concat_ws(' ', case when caution then '{CAUTION}' end,
-                  case when not coalesce(repo, false) then '{NO_REPOSITORY}' end) as gaps
+        coalesce(nullif(concat_ws(' ', case when caution then '{CAUTION}' end, case when not coalesce(data, false) then '{NO_DATA}' end,
+                  case when not coalesce(repo, false) then '{NO_REPOSITORY}' end), ''), '{NO_CONFLICT}') as gaps,
+        case when repo and claim then '{RECOMMEND[0]}' when claim then '{RECOMMEND[1]}' else '{RECOMMEND[2]}' end as recommendation,
+        concat_ws(' ', '{CHECKS[0]}', '{CHECKS[1]}', case when not coalesce(data, false) then '{CHECK_DATA}' end, case when not coalesce(repo, false) then '{CHECK_REPOSITORY}' end) as next_checks,
+        round(case when cs is null then 0e0 else 0.6e0 * least(1e0, size(cs) / 4e0) + 0.4e0 * round(1e0 / 7, 3) end, 3) as faithfulness_estimate
       from eval_items i left join g on g.item_id = i.item_id""")
 
 
@@ -223,5 +235,3 @@ def compare_modes(spark, root):
     return spark.sql("""select coalesce(v.item_id, m.item_id) as item_id, count(v.doc_id) as vector_docs, count(m.doc_id) as graph_docs, count(case when v.doc_id = m.doc_id then 1 end) as shared
         from vector_ v full outer join mmr_ m on v.item_id = m.item_id and v.doc_id = m.doc_id group by 1""")
 
-
-del Iterator

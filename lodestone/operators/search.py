@@ -18,7 +18,7 @@ from .extraction import methods_in, slug_of
 from .graph import edges as edge_ctes
 from .paths import FAN, HOPS, PATHS, decorated
 from .resolution import _papers
-from .retrieval import HYBRID_MIX, QUERIES as RETRIEVAL
+from .retrieval import QUERIES as RETRIEVAL
 from .retrieval import diverse, route
 
 book = Book()
@@ -140,13 +140,11 @@ def local_search(spark, root):
 @book.frame
 def global_search(spark, root):
     """Communities by relevance with their four first members: map, filter (0.12) and the ranking that the reduction takes."""
-    d = SPARK
     questions, nodes, edges = _parts(spark, root)
     questions.createOrReplaceTempView("questions_")
     nodes.where("label = 'Community'").createOrReplaceTempView("communities_")
     edges.where("type = 'BELONGS_TO_COMMUNITY' and label like '<-%' and rk <= 4").createOrReplaceTempView("first_members_")
     score = S.combined(semantic="cosine", lexical="overlap", path_quality="0.72e0", source_quality="0.5e0", freshness="0.45e0", confidence="0.72e0", evidence="0.65e0", path_score="0.65e0")
-    del d
     return spark.sql(f"""with {relevance('questions_', 'communities_', 'id')},
       s as (select qt.q, dt.id, sum(cast(qt.tf * dt.tf as double)) as dot, count_if(length(qt.token) > 1) as hits from qt join dt on dt.token = qt.token group by qt.q, dt.id),
       r as (select s.q, s.id, s.dot / (qn.norm * dn.norm) as cosine, s.hits / cast(qn.words as double) as overlap from s join qn on qn.q = s.q join dn on dn.id = s.id),
@@ -179,5 +177,3 @@ def routed_search(spark, root):
     glo = global_search(spark, root).selectExpr("item_id", "community_id as node_id", "score").join(routes.where("route = 'global'").withColumnRenamed("q", "item_id"), "item_id", "left_semi")
     return loc.unionByName(hyb).unionByName(dri).unionByName(glo).join(routes.withColumnRenamed("q", "item_id"), "item_id")
 
-
-del HYBRID_MIX, methods_in

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators.extraction import claims, first_of, sources
-from ..operators.graph import edges
+from ..operators.graph import on_graph
 from .base import Book
 
 book = Book()
@@ -27,10 +27,10 @@ def labels_of_ids(d):
         from (select distinct id from embedding_records where id is not null union select distinct id from authors where id is not null)"""
 
 
-@book.query
+@on_graph(book)
 def relationship_tokens(d):
     """Relationship tokens of decorated paths: upper case without a colon, after an arrow."""
-    return f"""with {edges(d)}, p as (select distinct type as part from edges union select distinct concat('<-', type) from edges union select distinct id from authors where id is not null)
+    return f"""with p as (select distinct type as part from edges union select distinct concat('<-', type) from edges union select distinct id from authors where id is not null)
         select part, {d.replace('part', '^<-', '')} = upper({d.replace('part', '^<-', '')}) and not contains(part, ':') as relationship from p"""
 
 
@@ -100,11 +100,10 @@ def paper_quality_and_freshness(d):
 
 @book.query
 def merge_pairs(d):
-    """Pairs that ought to be merged (the two first ids of an arXiv number) and whether a shared DOI merges them."""
+    """Pairs that ought to be merged (neighbouring ids of an arXiv number) and whether a shared DOI merges them."""
     return f"""with p as ({first_of(d, 'papers', 'id', ('doi', 'arxiv_id'))}), v as (select id, {T.identifier(d, 'doi')} as doi, {d.extract(T.txt('arxiv_id'), '[0-9]{4}[.][0-9]{5}')} as arx from p),
-        r as (select arx, id, doi, row_number() over (partition by arx order by id) as rk from v where arx <> ''),
-        q as (select arx, min(case when rk = 1 then id end) as left_id, min(case when rk = 2 then id end) as right_id, count(distinct nullif(doi, '')) as dois, count(nullif(doi, '')) as with_doi from r where rk <= 2 group by arx)
-        select left_id, right_id, dois = 1 and with_doi = 2 as merged from q where right_id is not null"""
+        r as (select arx, id as right_id, doi, lag(id) over (partition by arx order by id) as left_id, lag(doi) over (partition by arx order by id) as left_doi from v where arx <> '')
+        select left_id, right_id, doi <> '' and doi = left_doi as merged from r where left_id is not null"""
 
 
 @book.query
@@ -113,18 +112,3 @@ def ordered_distinct(d):
     ts = "coalesce(topics, " + ("array()" if d.name == "spark" else "[]") + ")"
     want = d.strings("prompt", "verifier")
     return f"""select row_no, {d.size(d.distinct(ts))} as distinct_topics, {d.size(d.both(d.distinct(ts), want))} as shared, {d.size(d.union(ts, want))} as either, {d.size(d.less(want, ts))} as missing from repos"""
-
-
-@book.query
-def order_facts(d):
-    """Orders by year with their lines: revenue, distinct parts and the share of returned lines."""
-    return """select year(o_orderdate) as order_year, count(distinct o_orderkey) as orders, count(*) as n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct l_partkey) as parts,
-        round(avg(case when l_returnflag = 'R' then 1e0 else 0e0 end), 6) as returned from orders join lineitem on l_orderkey = o_orderkey group by 1"""
-
-
-@book.query
-def nation_supply(d):
-    """Suppliers, parts and quantity per nation, nations without any kept."""
-    return """with s as (select s_nationkey, count(distinct s_suppkey) as suppliers, count(distinct l_partkey) as parts, sum(l_quantity) as quantity from supplier join lineitem on l_suppkey = s_suppkey group by s_nationkey)
-        select n_name, r_name, coalesce(suppliers, 0) as suppliers, coalesce(parts, 0) as parts, round(coalesce(quantity, 0e0), 2) as quantity
-        from nation join region on r_regionkey = n_regionkey left join s on s_nationkey = n_nationkey"""

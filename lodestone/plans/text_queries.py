@@ -47,8 +47,7 @@ def compact_text(d):
 def slugs(d):
     """Slugs and safe ids of repositories and organisations."""
     return f"""select 'repo' as kind, row_no, {T.slug(d, 'full_name')} as slug, {T.safe_id(d, 'full_name')} as safe_id from repos
-        union all select 'organization', row_no, {T.slug(d, 'name', 'uncategorized')}, {T.safe_id(d, "case when name is null then 'none' else name end")} from organizations
-        where not {d.matches('name', '[^ -~]')}"""
+        union all select 'organization', row_no, {T.slug(d, 'name', 'uncategorized')}, {T.safe_id(d, "case when name is null then 'none' else name end")} from organizations"""
 
 
 @book.query
@@ -60,7 +59,7 @@ def canonical_urls(d):
 @book.query
 def normal_identifiers(d):
     return f"""select row_no, {T.identifier(d, 'doi')} as doi, {T.identifier(d, 'arxiv_id')} as arxiv_id, {T.plain_name(d, 'title')} as plain_title,
-        {T.source_of(d, 'source_record_id')} as source_name from papers where not {d.matches(T.txt('title'), '[^ -~]')}"""
+        {T.source_of(d, 'source_record_id')} as source_name from papers"""
 
 
 @book.query

@@ -32,10 +32,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset, which only a local master may do."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_lodestone_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="lodestone-")

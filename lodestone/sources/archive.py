@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.dialect import SPARK
 from ..plans.base import Book
 from ..session import written
 
@@ -134,10 +133,9 @@ def enriched_repos(d):
 @book.query
 def release_and_issue_projection(d):
     """The five first releases and, of the ten first issues, those that are no requests: here events by user."""
-    part = d.struct(i="event_id", t="event_type")
-    first = lambda n: d.slice(d.collect(part), n)
-    return f"""with g as (select user_id, {first(10)} as ten, {first(5)} as five from events group by user_id)
-        select user_id, {d.join(d.map('five', 'x', d.cast_text('x.i')), ',')} as releases, {d.join(d.map(d.keep('ten', 'x', "x.t <> 'error'"), 'x', d.cast_text('x.i')), ',')} as issues from g"""
+    return f"""with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as rk from events), k as (select * from r where rk <= 10),
+        p as (select user_id, {d.collect("case when rk <= 5 then event_id end")} as five, {d.collect("case when event_type <> 'error' then event_id end")} as kept from k group by user_id)
+        select user_id, {d.join(d.map('five', 'x', d.cast_text('x')), ',')} as releases, {d.join(d.map('kept', 'x', d.cast_text('x')), ',')} as issues from p"""
 
 
 @book.query
@@ -152,5 +150,3 @@ def licences(d):
     tag = d.at(d.keep("coalesce(topics, " + ("array()" if d.name == "spark" else "[]") + ")", "t", "t like 'license:%'"), 0)
     return f"select row_no, coalesce(nullif(nullif(license, ''), 'NOASSERTION'), split_part({tag}, ':', 2), '') as licence from repos"
 
-
-del SPARK
