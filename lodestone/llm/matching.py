@@ -246,7 +246,8 @@ def _fit(cells: list[tuple[float, float, float, float]], rounds: int = 25) -> tu
 def matches(papers: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``, ``confidence`` (0 to 1) of every pair of ids of different sources that are one work.
 
-    Links are mutually nearest pairs of confidence ``CONFIDENT`` or more. What the gap and the distance of the titles say is
+    Links are mutually nearest pairs, and pairs that share an identifier (a source may hold a work under several ids), of
+    confidence ``CONFIDENT`` or more. What the gap and the distance of the titles say is
     fitted to pairs whose identifiers tell; each shared identifier leaves a tenth of the doubt; ties divide it. Two links
     through a third record make a pair too, unless it is ruled out. Null or blank titles match by identifiers only. An id
     sent in several rows is one record (its longest title, its greatest identifiers). Copies of a record are one class
@@ -260,7 +261,7 @@ def matches(papers: DataFrame) -> DataFrame:
     beta = _fit([(r.g, r.f, float(r.t), float(r.n - r.t)) for r in seen.collect()])  # at most 101 x 51 cells
     title_says = F.lit(1.0) / (1 + F.exp(-(beta[0] + beta[1] * F.col("gap") + beta[2] * F.col("far") + beta[3] * (F.col("far") == 0).cast("int"))))
     conf = (1 - (1 - title_says) * F.pow(F.lit(0.1), F.col("same"))) / F.greatest("ties", F.lit(1))
-    links = near.where("mutual").select("a", "b", F.round(conf, 6).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+    links = near.where("open and (mutual or same > 0)").select("a", "b", F.round(conf, 6).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
     links = written(links, "links")
     # two links through a third record
     way = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))

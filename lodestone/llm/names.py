@@ -280,8 +280,8 @@ def _people(people: DataFrame, nicknames: DataFrame) -> DataFrame:
 
     # full pairs without an organisation: the one person they fit, by their words or by their nicknames; else the one person known by initials only
     lone = full.where("cell is null").select("form", "ws", F.when(F.size("named") == 2, F.col("named")).otherwise(F.col("ws")).alias("named"), "n")
-    fits = _fits(lone.select("ws").unionByName(lone.select(F.col("named").alias("ws"))).distinct(), known)
-    lone = lone.join(fits, "ws", "left").join(fits.toDF("named", "nick_fit"), "named", "left").withColumn("fit", F.coalesce("fit", "nick_fit"))
+    fits = written(_fits(lone.select("ws").unionByName(lone.select(F.col("named").alias("ws"))).distinct(), known), "fits")
+    lone = written(lone.join(fits, "ws", "left").join(fits.toDF("named", "nick_fit"), "named", "left").select("form", "named", "n", F.coalesce("fit", "nick_fit").alias("fit")), "lone-forms")
     open_ = written(lone.where("fit is null").groupBy(F.col("named").alias("ws")).agg(F.sum("n").alias("n")), "lone")
     # among themselves: the better attested pair that they fit
     mine = open_.withColumn("entity", F.concat_ws("|", F.lit("?"), F.col("ws")[0], F.col("ws")[1]))
@@ -295,11 +295,12 @@ def _people(people: DataFrame, nicknames: DataFrame) -> DataFrame:
     signs = _sides(mine, "entity").select("entity", "i", F.col("key").alias("w"))
     by_form = unique(signs, ["i", "w"], "entity").join(unique(stubs, ["i", "w"], "entity").withColumnRenamed("entity", "stub"), ["i", "w"])
     by_login = unique(signs.select("entity", F.concat("i", "w").alias("login")), ["login"], "entity").join(unique(stray, ["login"], "entity").withColumnRenamed("entity", "stub"), "login")
-    moved = by_form.select("entity", "stub").unionByName(by_login.select("entity", "stub"))
+    moved = written(by_form.select("entity", "stub").unionByName(by_login.select("entity", "stub")), "moved")
     # a pair may be known by initials in one place and by a login there: the initials go first
-    taken = moved.groupBy("entity").agg(F.min("stub").alias("to"))
+    taken = written(moved.groupBy("entity").agg(F.min("stub").alias("to")), "taken")
     joined = moved.join(taken, "entity").where("stub <> to").groupBy("stub").agg(F.min("to").alias("to"))
     mine = mine.join(taken, "entity", "left").select("ws", F.coalesce("to", "entity").alias("entity"))
+    joined = written(joined, "joined")
     lone = lone.join(mine.toDF("named", "own"), "named", "left").select("form", F.coalesce("fit", "own").alias("entity"))
 
     # initials and logins without an organisation: the one person they fit
@@ -310,7 +311,7 @@ def _people(people: DataFrame, nicknames: DataFrame) -> DataFrame:
     anyone = unique(forms.select(F.concat("i", "w").alias("login"), "entity"), ["login"], "entity").withColumnRenamed("entity", "sole")
     logins = logins.join(anyone, "login", "left").select("form", F.coalesce("fit", "stub", F.when(F.col("cell").isNull(), F.coalesce("sole", F.concat_ws("|", F.lit("?"), "login")))).alias("entity"))
     rest = people.where("ws is null or not (size(ws) = 2 or (size(ws) = 1 and size(initials) > 0))").select("form", F.when(F.size("ws") > 2, F.concat_ws("|", F.coalesce("cell", F.lit("?")), F.array_join("ws", "|"))).alias("entity"))
-    every = here.select("form", "entity").unionByName(lone).unionByName(one).unionByName(logins).unionByName(rest)
+    every = here.select("form", "entity").unionByName(written(lone, "lone")).unionByName(written(one, "one")).unionByName(written(logins, "logins")).unionByName(rest)
     return every.join(joined.withColumnRenamed("stub", "entity"), "entity", "left").select("form", F.coalesce("to", "entity").alias("entity"))
 
 
