@@ -7,9 +7,10 @@ record's own, beside those that share an identifier, a whole title or a beginnin
 
 Top-k pruning is exact. A record's terms are ordered from rare to frequent; of the terms that a pair shares, the first one
 is followed by terms of at least the weight that is still needed, so a record enters the index only under its first terms.
-A key held by more than ``CROWD`` classes is not read as a list but made longer by each further term that could still reach
-the weight, again and again, until its lists are short. Pairs that share a long list's key and nothing more tie with more
-than ``TOP`` rivals of one source; their confidence is divided by the number of ties, so they could never be reported.
+Words are matched by different titles, not by records. A key held by more than ``CROWD`` titles gives the pairs of which both
+have reached the weight, and is made longer for the others by each further term that could still reach it, again and again,
+until its lists are short. Identifiers, titles and beginnings have no limit on those who share them; records of one title
+that share no identifier are equally near, so of more than ``TOP`` open ones in one source no pair could be reported.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import table, written
 
-#: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list that is read as it is, by words and by identifiers or titles.
-TOP, SHARE, CROWD, DIRECT = 10, 0.6, 20, 60
+#: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list of titles that is read as it is.
+TOP, SHARE, CROWD = 10, 0.6, 20
 K1, B = 1.2, 0.4
 #: Beginnings of a title are taken at these numbers of words.
 HEADS = (3, 5, 8, 12, 20, 40)
@@ -83,20 +84,19 @@ def _words() -> Column:
     return F.when(F.size(words) > 0, words).when(F.col("title") != "", F.array_distinct(F.split("title", " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _keys() -> Column:
-    """What two records may share as a whole: identifiers and the title."""
-    ids = F.array_compact(F.array(F.concat(F.lit("d:"), "doi"), F.concat(F.lit("a:"), "arx"), F.concat(F.lit("o:"), "oa")))
-    whole = F.when(F.col("title") != "", F.array(F.concat(F.lit("t="), F.md5("title")))).otherwise(F.array().cast("array<string>"))
-    return F.concat(ids, whole)
+def _identifiers() -> Column:
+    return F.array_compact(F.array(F.concat(F.lit("d:"), "doi"), F.concat(F.lit("a:"), "arx"), F.concat(F.lit("o:"), "oa")))
 
 
-def _beginnings(idx: DataFrame) -> DataFrame:
-    """Every title's beginnings (``key``, ``rid``, ``src``); ``asks`` marks the longest one of a title that may itself be another's beginning."""
+def _beginnings(titles: DataFrame) -> DataFrame:
+    """Every title's beginnings (``key``, ``tid``); ``asks`` marks the longest one of a title that may itself be another's beginning."""
     ws = F.split("title", " ")
-    whole = F.size(ws) - F.col("cut").cast("int")  # the last word of a title that was broken off may be a part
-    each = idx.where("title <> ''").select("rid", "src", ws.alias("ws"), whole.alias("whole"), F.explode(F.array(*map(F.lit, HEADS))).alias("n")).where("n <= size(ws)")
-    longest = F.array_max(F.filter(F.array(*map(F.lit, HEADS)), lambda n: n <= F.col("whole")))
-    return each.select(F.xxhash64("n", F.array_join(F.slice("ws", 1, F.col("n")), " ")).alias("key"), "rid", "src", (F.col("n") == longest).alias("asks"))
+    n = F.size("ws")
+    longest = lambda whole: F.array_max(F.filter(F.array(*map(F.lit, HEADS)), lambda k: k <= whole))
+    each = titles.select("tid", ws.alias("ws"), "lo_cut", "hi_cut", F.explode(F.array(*map(F.lit, HEADS))).alias("n")).where("n <= size(ws)")
+    # the last word of a title that was broken off may be a part
+    asks = (~F.col("lo_cut") & (F.col("n") == longest(n))) | (F.col("hi_cut") & (F.col("n") == longest(n - 1)))
+    return each.select(F.xxhash64("n", F.array_join(F.slice("ws", 1, F.col("n")), " ")).alias("key"), "tid", F.coalesce(asks, F.lit(False)).alias("asks"))
 
 
 def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +111,7 @@ def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = postings.join(df, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(idf.alias("w"), "t", "df")), False).alias("terms"))  # as many as one title has
     none = F.expr("cast(array() as array<struct<w: double, t: string, df: bigint>>)")
-    out = classes.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none)).withColumn("words", F.size("ws")).drop("ws")
+    out = classes.withColumn("tid", F.xxhash64("title")).withColumn("mark", F.xxhash64(markers(F.col("title")))).join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none)).withColumn("words", F.size("ws")).drop("ws")
     out = out.withColumn("own", F.expr("aggregate(terms, 0D, (a, x) -> a + x.w)")).withColumn("need", F.col("own") * share)
     return written(out, "index"), keyed.select("id", "rid")
 
@@ -120,41 +120,77 @@ def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
 _FURTHER = "filter(sequence(last + 1, size(terms) - 1), j -> aggregate(slice(terms, j + 1, size(terms)), 0D, (a, x) -> a + x.w) >= need - 1e-9)"
 
 
-def _longer(rows: DataFrame) -> DataFrame:
-    """Rows of (``rid``, ``src``, ``key``, ``last``, ``need``, ``terms``) -> one row per term that makes the key longer."""
-    ext = rows.where("last + 1 < size(terms)").withColumn("j", F.explode(F.expr(_FURTHER)))
+def _longer(rows: DataFrame, done: Column) -> DataFrame:
+    """Rows of (``tid``, ``lo``, ``hi``, ``key``, ``last``, ``need``, ``terms``) -> one row per term that makes the key longer; ``done`` of the row before."""
+    ext = rows.withColumn("done", done).where("last + 1 < size(terms)").withColumn("j", F.explode(F.expr(_FURTHER)))
     x = F.expr("terms[j]")
-    return ext.select("rid", "src", F.xxhash64("key", x["t"]).alias("key"), F.col("j").alias("last"), (F.col("need") - x["w"]).alias("need"))
+    return ext.select("tid", "lo", "hi", F.xxhash64("key", x["t"]).alias("key"), F.col("j").alias("last"), (F.col("need") - x["w"]).alias("need"), "done")
 
 
-def candidates(idx: DataFrame, crowd: int = CROWD, top: int = TOP) -> DataFrame:
-    """Pairs of classes of different sources: ``a`` < ``b``, ``direct`` if they share an identifier, a whole title or a beginning."""
-    pairs = lambda x, y: x.toDF("key", "a", "sa").join(y.toDF("key", "b", "sb"), "key").where("sa <> sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _compatible(rows: DataFrame, top: int) -> DataFrame:
+    """Pairs of classes under keys that stand for one title (``key``, ``rid``, ``src``, ``mask``), enough to settle every one of them.
 
-    def read(rows: DataFrame, crowd: int = crowd) -> tuple[DataFrame, DataFrame]:
-        """The lists that are short, with what can be told apart of the long ones; and the long ones."""
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
-        sized = written(rows.join(sizes.select("key", "n"), "key"), "lists")
-        long = sized.where(F.col("n") > crowd)
-        few = long.where("need <= 1e-9").withColumn("c", F.count("*").over(Window.partitionBy("key", "src"))).where(F.col("c") <= top)
-        return sized.where(F.col("n") <= crowd).select("key", "rid", "src").unionByName(few.select("key", "rid", "src")), long.drop("n")
+    All classes of a title are equally near by words. Two of them that share no identifier are open only if no kind of
+    identifier is given in both (``mask`` has a bit a kind). Every class meets the first ``top`` classes of each source and
+    each mask disjoint from its own: with ``top`` partners or fewer these are all of them, with more they tie beyond
+    ``CONFIDENT`` whoever they are. It also meets the first two of any mask, which are rivals as near as the rest.
+    """
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("key", "src", "mask").orderBy("rid"))).where(F.col("r") <= top)
+    met = rows.toDF("key", "a", "sa", "ma").join(first.toDF("key", "b", "sb", "mb", "r"), "key")
+    return met.where("sa <> sb and ((ma & mb) = 0 or r <= 2)").select("a", "b")
+
+
+def title_pairs(titles: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs of different titles (``ta``, ``tb``), ``direct`` for a beginning, that may share the weight which both need; none is left out.
+
+    A list of more than ``crowd`` titles gives all pairs of which both have what they need, and is made longer for the rest:
+    a row that had what it needs (``done``) before the key was made longer meets only rows that hadn't.
+    """
 
-    whole = idx.select("rid", "src", F.explode(F.array_distinct(_keys())).alias("k")).select("rid", "src", F.xxhash64(F.lit(0).cast("long"), "k").alias("key"), F.lit(0).alias("last"), F.lit(0.0).alias("need"))
-    whole, _ = read(whole, DIRECT)  # what is shared as a whole isn't made longer: its words are
-    lists = whole.limit(0)
-    rows = _longer(idx.select("rid", "src", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"))
+    def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs of short lists and the complete ones of long lists; and the long lists."""
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h"), F.bool_and("done").alias("over"), F.bool_and(F.col("need") <= 1e-9).alias("full")).where("l <> h and n > 1 and not over")
+        sized = written(rows.join(sizes.select("key", "n", "full"), "key"), "lists")
+        now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select("key", "tid", "done")
+        met = now.toDF("key", "ta", "da").join(now.toDF("key", "tb", "db"), "key").where("ta < tb and not (da and db)").select("ta", "tb")
+        return met, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full")
+
+    rows, found = _longer(titles.select("tid", "lo", "hi", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"), F.lit(False)), None
     while True:
-        short, long = read(rows)
-        lists = lists.unionByName(short)
+        met, long = read(rows)
+        found = met if found is None else found.unionByName(met)
         if not long.limit(1).count():
             break
-        rows = _longer(long.join(idx.select("rid", "terms"), "rid"))
-    heads = _beginnings(idx)
-    sizes = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") <= DIRECT) & (F.col("n") > 1))
-    heads = heads.join(sizes.select("key"), "key")
-    direct = pairs(whole, whole).unionByName(pairs(heads.where("asks").select("key", "rid", "src"), heads.select("key", "rid", "src")))
-    both = pairs(lists, lists).withColumn("direct", F.lit(False)).unionByName(direct.withColumn("direct", F.lit(True)))
-    return both.where("a <> b").groupBy("a", "b").agg(F.bool_or("direct").alias("direct"))
+        rows = _longer(long.join(titles.select("tid", "terms"), "tid"), F.col("need") <= 1e-9)
+    heads = _beginnings(titles)
+    asked = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") > 1))
+    heads = heads.join(asked.select("key"), "key")
+    begun = heads.where("asks").select("key", F.col("tid").alias("x")).join(heads.select("key", F.col("tid").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"))
+    both = found.withColumn("direct", F.lit(False)).unionByName(begun.withColumn("direct", F.lit(True)))
+    return both.groupBy("ta", "tb").agg(F.bool_or("direct").alias("direct"))
+
+
+def candidates(idx: DataFrame, average: float, crowd: int = CROWD, top: int = TOP) -> DataFrame:
+    """Pairs of classes of different sources: ``a`` < ``b``, ``plain`` (BM25 over the words they share)."""
+    titles = idx.where("title <> ''").groupBy("tid").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.first("title").alias("title"), F.min("cut").alias("lo_cut"), F.max("cut").alias("hi_cut"), F.first("terms").alias("terms"), F.first("words").alias("words"), F.first("need").alias("need"))
+    titles = written(titles, "titles")
+    light = lambda df, k, s: df.select(F.col(k).alias(s), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
+    gained = F.expr("aggregate(array_intersect(terms_{0}, terms_{1}), 0D, (s, y) -> s + y.w)".format("x", "y"))
+    # titles hold a word once, as a rule: a term frequency of one, set against the title's length
+    norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
+    plain = (F.col("gained") * F.sqrt(norm("x") * norm("y"))).alias("plain")
+    near = title_pairs(titles, crowd).toDF("x", "y", "direct").join(light(titles, "tid", "x"), "x").join(light(titles, "tid", "y"), "y").withColumn("gained", gained)
+    near = near.where("direct or gained >= greatest(need_x, need_y) - 1e-9").select("x", "y", plain)
+    side = lambda t, r, s: idx.select(F.col("tid").alias(t), F.col("rid").alias(r), F.col("src").alias(s))
+    words = near.join(side("x", "a", "sa"), "x").join(side("y", "b", "sb"), "y").where("sa <> sb").select("a", "b", "plain")
+    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(("doi", "arx", "oa"))), F.lit(0))
+    same = _compatible(idx.where("title <> ''").select(F.col("tid").alias("key"), "rid", "src", mask.alias("mask")), top)
+    ids = idx.select("rid", "src", F.explode(_identifiers()).alias("k")).select(F.xxhash64("k").alias("key"), "rid", "src")
+    shared = ids.toDF("key", "a", "sa").join(ids.toDF("key", "b", "sb"), "key").where("sa <> sb and a < b").select("a", "b")
+    whole = same.unionByName(shared).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    whole = whole.join(light(idx, "rid", "x"), "x").join(light(idx, "rid", "y"), "y").withColumn("gained", gained).select(F.col("x").alias("a"), F.col("y").alias("b"), plain)
+    every = words.unionByName(whole).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "plain")
+    return every.groupBy("a", "b").agg(F.max("plain").alias("plain"))
 
 
 def identifier_weight(n: float) -> float:
@@ -163,23 +199,25 @@ def identifier_weight(n: float) -> float:
 
 
 def scored(idx: DataFrame) -> DataFrame:
-    """Candidates with their features: ``score`` (BM25 over shared terms, relative to the lesser record's own), shared and conflicting identifiers, title agreement."""
-    average = float(idx.agg(F.avg("words")).first()[0] or 1.0)
-    n = float(idx.count())
-    # first by numbers alone
-    light = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
-    gained = F.expr("aggregate(array_intersect(terms_a, terms_b), 0D, (s, y) -> s + y.w)")
-    # titles hold a word once, as a rule: a term frequency of one, set against the title's length
-    norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
-    pairs = candidates(idx).join(light("a"), "a").join(light("b"), "b")
-    pairs = pairs.withColumn("gained", gained).where("direct or gained >= greatest(need_a, need_b) - 1e-9")
-    pairs = pairs.select("a", "b", "src_a", "src_b", (F.col("gained") * F.sqrt(norm("a") * norm("b"))).alias("plain"))
-    pairs = written(pairs, "pairs")
-    side = lambda s: idx.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("title", "cut", "doi", "arx", "oa")])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Candidates with ``score`` (BM25 over shared terms), shared and conflicting identifiers, and ``apart`` (different markers)."""
+    first = idx.agg(F.avg("words"), F.count("*")).first()
+    attributes = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{c}_{s}") for c in ("doi", "arx", "oa")], F.col("mark").alias(f"mark_{s}"), F.col("cut").alias(f"cut_{s}"), F.length("title").alias(f"n_{s}"))
+    pairs = candidates(idx, float(first[0] or 1.0)).join(attributes("a"), "a").join(attributes("b"), "b")
     same = sum((F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
     differ = sum((F.coalesce((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
-    out = pairs.select("a", "b", "src_a", "src_b", "plain", (F.col("plain") + same * float(identifier_weight(n))).alias("score"), same.alias("same"), differ.alias("differ"), "title_a", "title_b", (F.col("cut_a") | F.col("cut_b")).alias("cut"))
+    score = F.col("plain") + same * float(identifier_weight(float(first[1])))
+    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    maybe = ((F.col("cut_a") | F.col("cut_b")) | (short < 0.6 * long)) & (short >= 8)
+    pairs = written(pairs.select("a", "b", "src_a", "src_b", "plain", score.alias("score"), same.alias("same"), differ.alias("differ"), maybe.alias("maybe"), (F.col("mark_a") != F.col("mark_b")).alias("apart")), "pairs")
+    # a title broken off may have lost its marker: only for these the titles themselves are compared here
+    lost = with_far(pairs.where("apart and maybe"), idx).withColumn("apart", ~F.col("clipped")).drop("far", "clipped")
+    return pairs.where("not (apart and maybe)").unionByName(lost)
+
+
+def with_far(pairs: DataFrame, idx: DataFrame) -> DataFrame:
+    """``pairs`` with ``far``, the distance of the titles relative to their length, and ``clipped``: one is the beginning of the other."""
+    side = lambda s: idx.select(F.col("rid").alias(s), F.col("title").alias(f"title_{s}"))
+    out = pairs.join(side("a"), "a").join(side("b"), "b")
     la, lb = F.length("title_a"), F.length("title_b")
     short, n = F.least(la, lb), F.greatest(la, lb)
     # a distance beyond 30 % of the characters is "as far apart as can be" by definition: no such pair is one work
@@ -188,12 +226,8 @@ def scored(idx: DataFrame) -> DataFrame:
     l, g = "least(length(title_a), length(title_b))", "greatest(length(title_a), length(title_b))"
     whole = share(edits("title_a", "title_b", g), n)
     head = share(edits(f"substring(title_a, 1, {l})", f"substring(title_b, 1, {l})", l), short)
-    clipped = (F.col("cut") | (short < 0.6 * n)) & (short >= 8)
-    return (
-        out.withColumn("far", F.when(clipped, F.least(head, whole)).otherwise(whole)).withColumn("clipped", clipped & (head < whole))
-        .withColumn("apart", (markers(F.col("title_a")) != markers(F.col("title_b"))) & ~(F.col("clipped")))
-        .drop("title_a", "title_b")
-    )
+    out = out.withColumn("whole", whole).withColumn("head", F.when(F.col("maybe"), head))
+    return out.withColumn("far", F.when(F.col("maybe"), F.least("head", "whole")).otherwise(F.col("whole"))).withColumn("clipped", F.col("maybe") & (F.col("head") < F.col("whole"))).drop("title_a", "title_b", "whole", "head")
 
 
 #: Pairs of less confidence are not linked; above 1 / TOP, so that no pair beyond ``TOP`` ties could be.
@@ -254,7 +288,8 @@ def matches(papers: DataFrame) -> DataFrame:
     until the end.
     """
     idx, members = index(records(papers))
-    near = written(with_gaps(written(scored(idx), "scored")), "near")
+    near = with_gaps(scored(idx)).where("nearest or mutual or same > 0")
+    near = written(with_far(near, idx), "near")
     cell = lambda c: F.ceil(F.least(F.col(c), F.lit(1.0)) * 50) / 50  # noqa: E731  (0 only for equal titles)
     # what identifiers tell, wherever they tell: counts in cells of gap and title distance, whatever the number of pairs
     seen = near.where("nearest and not apart and (same > 0 or differ > 0)").groupBy(cell("gap").alias("g"), cell("far").alias("f")).agg(F.count_if(F.col("same") > 0).alias("t"), F.count("*").alias("n"))

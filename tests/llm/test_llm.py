@@ -91,6 +91,22 @@ def test_matching(spark):
     assert all(a.split(":")[1] != b.split(":")[1] and a < b for a, b in got)
 
 
+def test_no_partner_is_left_out_of_a_crowd(spark):
+    """An identifier or a title that very many records share still leads to the one partner there is."""
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    rows = [(1, "paper:openalex:w9001", "Quixolog Under New Light", "10.5555/same", None, "W9001", 0), (2, "paper:lab:h", "Quixolog Under New Light", "10.5555/same", None, None, 0)]
+    rows += [(10 + i, f"paper:lab:h{i}", f"{word(i)}zob {word(7 * i + 3)}wib {word(11 * i + 5)}kel", "10.5555/same", None, None, 0) for i in range(70)]
+    rows += [(3, "paper:openalex:w9002", "Preface to the Zorblatt Walks", "10.6666/own", None, "W9002", 0), (4, "paper:lab:open", "Preface to the Zorblatt Walks", None, None, None, 0)]
+    rows += [(200 + i, f"paper:lab:p{i}", "Preface to the Zorblatt Walks", f"10.7777/{i}", None, None, 0) for i in range(80)]
+    got = matched(spark, rows)
+    assert all((f"paper:lab:h{i}", "paper:openalex:w9001") in got for i in range(70))
+    idx, _ = matching.index(matching.records(spark.createDataFrame(rows[72:], PAPER)))
+    keys = {r.rid: r.doi for r in idx.collect()}
+    met = {frozenset((keys[r.a], keys[r.b])): r for r in matching.with_gaps(matching.scored(idx)).collect()}
+    only = met[frozenset(("10.6666/own", None))]  # all others of its title have another DOI
+    assert only.open and only.mutual and only.ties == 1 and only.gap == 0
+
+
 def test_matching_nothing(spark):
     assert matching.matches(spark.createDataFrame([], PAPER)).count() == 0
 
