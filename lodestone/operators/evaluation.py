@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..functions.dialect import Spark
-from ..plans.base import Book
+from ..functions.dialect import SPARK, Spark
+from ..plans.base import Book, sql
+from ..session import written
 from .retrieval import _meta, _vector, route, scored
 
 book = Book()
@@ -124,6 +125,43 @@ def decision_quality(d):
         select ec as exact_decisions, rc as probable_decisions, vc as possible_decisions, case when ec + rc + vc = 0 then 1e0 else round(cast(ec + rc as double) / (ec + rc + vc), 6) end as accepted_share from g"""
 
 
+#: A token of more names than this is frequent: names that share only frequent tokens are counted by class.
+FREQUENT = 40
+
+
+def _decisions(spark, root: str):
+    """``decision_quality`` with the possible decisions counted without listing them.
+
+    Names of equal frequent tokens and equal number of tokens are one class; classes whose frequent tokens alone suffice
+    count with the product of their sizes. Beside these, pairs that share a rare token are listed and count if they suffice by that token only.
+    """
+    from .extraction import first_of
+
+    d = SPARK
+    enough = lambda a, b, m, k: f"cast(size(array_intersect({a}, {b})) as double) / greatest({m}, {k}) >= 0.72e0"
+    # of tokens from rare to frequent, one of the first so many is shared by any pair that suffices
+    first = lambda f, m: f"slice({f}, 1, greatest(0, size({f}) - cast(ceil(0.72e0 * {m}) as int) + 1))"
+    written(sql(spark, root, f"select name, count(*) as n, {T.token_set(d, 'first(name)')} as ts from (select {T.plain_name(d, 'name')} as name from ({first_of(d, 'organizations', 'id', ('name',))})) where name <> '' group by name"), "names").createOrReplaceTempView("decided_names_")
+    ordered = spark.sql(f"""with x as (select name, explode(ts) as t from decided_names_), f as (select t, count(*) as df from x group by t),
+      o as (select x.name, array_sort(collect_list(struct(f.df as df, x.t as t))) as o from x join f on f.t = x.t group by x.name)
+      select name, size(o) as m, transform(o, e -> e.t) as ts, transform(filter(o, e -> e.df > {FREQUENT}), e -> e.t) as f, size(filter(o, e -> e.df <= {FREQUENT})) as rare from o""")
+    written(ordered, "ordered").createOrReplaceTempView("ordered_names_")
+    written(spark.sql("select f, m, count(*) as n, xxhash64(f, m) as k from ordered_names_ where size(f) > 0 group by f, m"), "classes").createOrReplaceTempView("name_classes_")
+    return sql(spark, root, f"""with h as (select k, f, m, n, explode({first('f', 'm')}) as t from name_classes_),
+        classes as (select distinct a.k as l, b.k as g from h a join h b on b.t = a.t and a.k <= b.k),
+        common as (select coalesce(sum(case when c.l = c.g then a.n * (a.n - 1) div 2 else a.n * b.n end), 0) as c from classes c join name_classes_ a on a.k = c.l join name_classes_ b on b.k = c.g where {enough('a.f', 'b.f', 'a.m', 'b.m')}),
+        r as (select name, explode(slice(ts, 1, least(rare, m - cast(ceil(0.72e0 * m) as int) + 1))) as t from ordered_names_ where rare > 0),
+        met as (select distinct a.name as l, b.name as g from r a join r b on b.t = a.t and a.name < b.name),
+        more as (select count(*) as c from met join ordered_names_ a on a.name = met.l join ordered_names_ b on b.name = met.g where {enough('a.ts', 'b.ts', 'a.m', 'b.m')} and not ({enough('a.f', 'b.f', 'a.m', 'b.m')})),
+        p as (select id, {T.identifier(d, 'min(doi)')} as doi from papers where id is not null group by id),
+        u as (select count(*) as ec, 0 as rc, 0 as vc from (select doi from p where doi <> '' group by doi having count(*) > 1) union all select 0, count(*), 0 from decided_names_ where n > 1 union all select 0, 0, c from common union all select 0, 0, c from more),
+        g as (select cast(sum(ec) as bigint) as ec, cast(sum(rc) as bigint) as rc, cast(sum(vc) as bigint) as vc from u)
+        select ec as exact_decisions, rc as probable_decisions, vc as possible_decisions, case when ec + rc + vc = 0 then 1e0 else round(cast(ec + rc as double) / (ec + rc + vc), 6) end as accepted_share from g""")
+
+
+QUERIES["decision_quality"] = _decisions
+
+
 @book.query
 def system_health(d):
     """Source records by state: stale policies (a policy named stale with a limit in days), short-lived, quarantined and deleted ones, and the mean limit."""
