@@ -270,6 +270,30 @@ def test_search_modes(spark, sf):
     assert known["global_search"](spark, sf).where("score < 0.12").count() == 0
 
 
+def test_nearest_is_exact(spark):
+    """The nodes nearest to a question, repeated ids and ties included, without a row for every token of every text."""
+    import re
+
+    from lodestone.operators.search import nearest
+
+    texts = [(f"n{i:04}", " ".join(f"w{(i * 7 + j * j) % 31}" for j in range(i % 9))) for i in range(1500)] + [("n0003", "w1 w2"), ("n0003", "w1 w2"), ("n0009", None)] + [(f"t{i:03}", "alpha beta") for i in range(100)]
+    asked = [(1, "w1 w2 w2 w5"), (2, "Alpha"), (3, "nothing here"), (4, ""), (5, "w7 a")]
+    got = nearest(spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(texts, "id string, text string"), 8)
+    assert "token" not in got._jdf.queryExecution().toString()
+    want = []
+    for q, text in asked:
+        a, seen = re.findall(r"\w+", text.lower()), {}
+        for i, t in texts:
+            b = (t or "").split()
+            dot = sum(a.count(w) * b.count(w) for w in set(a))
+            if dot:
+                norm = lambda x: sum(x.count(w) ** 2 for w in set(x)) ** 0.5
+                long = {w for w in a if len(w) > 1}
+                seen[i] = max(seen.get(i, 0), round(max(dot / (norm(a) * norm(b)), len(long & set(b)) / len(long) if long else 0), 9))
+        want += [(q, i) for i, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:8]]
+    assert sorted((r.q, r.id) for r in got.collect()) == sorted(want)
+
+
 def test_answers_of_every_question(spark, sf):
     from lodestone.plans import registry
 
