@@ -6,16 +6,22 @@ of its class, never as all pairs. Possible duplicates pair the classes of equal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import text as T
 from ..functions.dialect import SPARK, Spark
 from ..plans.base import Book, sql
+from ..session import partitions, written
+from . import likeness
 from .extraction import first_of
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 book = Book()
 QUERIES, SQL = book.QUERIES, book.SQL
 #: Thresholds of the ladder.
@@ -51,35 +57,48 @@ def er_weak_signals(d):
         select name, count(*) as n, count(distinct year) as years, count(distinct nullif(venue, '')) as venues from v where name <> '' group by name having count(*) > 1"""
 
 
+#: Names of a block, at most and (where cores would be idle otherwise) at least; every block is compared with every other in a group of its own.
+BLOCK, SMALL = 1500, 200
+
+
 def possible_pairs(names: DataFrame) -> DataFrame:
     """Pairs of different names that are possible duplicates: ``a`` < ``b``, ``ratio``, ``overlap``.
 
-    Candidates share a block: a token whose names are few, or, for names of one token or all-frequent tokens, the rarest of
-    their tokens. The ratio is Ratcliff and Obershelp's, computed in Arrow batches on the candidates only.
+    Every name is compared with every other, block by block, by bounds that leave out no pair (``likeness``). The ratio is
+    Ratcliff and Obershelp's; the overlap, of white-space separated words, is relative to the name of more words.
     """
-    import difflib
-
     from pyspark.sql import functions as F
 
-    toks = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("t"))
-    df = toks.groupBy("t").agg(F.count("*").alias("n"))
-    block = toks.join(df, "t").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t"))), 1, 2).alias("ts"))
-    keys = block.select("name", F.explode("ts.t").alias("t"))
-    pairs = keys.toDF("a", "t").join(keys.toDF("b", "t"), "t").where("a < b").select("a", "b").distinct()
-
-    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                m = difflib.SequenceMatcher(None, a, b)
-                x, y = set(a.split()), set(b.split())
-                over = len(x & y) / max(len(x), len(y))
-                r = m.ratio() if over >= POSSIBLE_OVERLAP or (m.real_quick_ratio() >= POSSIBLE_RATIO and m.quick_ratio() >= POSSIBLE_RATIO) else 0.0
-                if r >= POSSIBLE_RATIO or over >= POSSIBLE_OVERLAP:
-                    rows.append((a, b, round(r, 6), round(over, 6)))
-            yield pd.DataFrame(rows, columns=["a", "b", "ratio", "overlap"])
-
-    return pairs.mapInPandas(ratio, "a string, b string, ratio double, overlap double")
+    names = written(names.select("name").where("name is not null").distinct(), "names")
+    n = names.count()
+    blocks = max(1, -(-n // BLOCK), min(n // SMALL, math.ceil(math.sqrt(8 * partitions(names.sparkSession)))))
+    own, other = F.col("block"), F.col("other")
+    rows = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # both blocks of a group, and whether a name is of the first
+    rows = rows.select((F.least(own, other) * blocks + F.greatest(own, other)).alias("grp"), (own <= other).alias("first"), (own == other).alias("alone"), "name")
+    groups = blocks * (blocks + 1) // 2
+    return rows.repartition(min(groups, 1000), "grp").sortWithinPartitions("grp").mapInArrow(_compared, "a string, b string, ratio double, overlap double")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group -> the group's pairs, some ten thousand at a time."""
+    import pyarrow as pa
+
+    group, alone, held = None, False, ([], [])
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if held[0] and (alone or held[1]):
+            for names, x, y, ratio, overlap in likeness.pairs(held[0], None if alone else held[1], POSSIBLE_RATIO, POSSIBLE_OVERLAP):
+                text = pa.array(names, pa.string())
+                yield pa.RecordBatch.from_arrays([text.take(pa.array(x)), text.take(pa.array(y)), pa.array(ratio, pa.float64()), pa.array(overlap, pa.float64())], ["a", "b", "ratio", "overlap"])
+
+    for batch in batches:
+        for grp, first, lone, name in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if grp != group:
+                yield from found()
+                group, alone, held = grp, lone, ([], [])
+            held[0 if first else 1].append(name)
+    yield from found()
 
 
 @book.frame

@@ -162,6 +162,41 @@ def test_possible_duplicates(spark):
     assert got == [("agent memory data", "agent memory dataset")]
 
 
+def test_possible_duplicates_are_those_of_all_pairs(spark, monkeypatch):
+    """Names that share frequent words only, slips in rare words, one word, long and odd names, repeated and null ones."""
+    import difflib
+
+    from lodestone.operators import resolution as R
+
+    makes = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 17))
+    names = [k.format(makes(i)) for i in range(25) for k in ("{} foundation for open knowledge", "fdn of {0} and {0}s", "{}", "{}x lab", "national centre for evidence {} research institute of the walks and paths of northern towns")]
+    names += ["stanford", "stanfrod", "x", "y", "a b c d", "a b c e", "b a c d", "é è à o", "é è à u", "w " * 99 + "a", "w " * 99 + "b", "m" * 70 + "no", "m" * 70 + "on"]
+    want = {}
+    for a in names:
+        for b in names:
+            if a < b:
+                x, y = set(a.split()), set(b.split())
+                ratio, over = difflib.SequenceMatcher(None, a, b).ratio(), len(x & y) / max(len(x), len(y))
+                if ratio >= R.POSSIBLE_RATIO or over >= R.POSSIBLE_OVERLAP:
+                    want[a, b] = round(ratio, 6), round(over, 6)
+    for block in (1500, 30):
+        monkeypatch.setattr(R, "BLOCK", block)
+        rows = R.possible_pairs(spark.createDataFrame([(n,) for n in [*names, None, "stanford"]], "name string")).collect()
+        assert {(r.a, r.b): (r.ratio, r.overlap) for r in rows} == want and len(rows) == len(want)
+
+
+def test_possible_duplicates_in_time(spark, tmp_path):
+    """2,000 names of one kind: 1,999,000 pairs."""
+    import time
+
+    from lodestone.operators.resolution import er_possible_duplicates
+
+    spark.range(2000).selectExpr("concat('org:', id) as id", "concat('National Centre for Evidence Research n', id) as name").write.parquet(str(tmp_path / "organizations.parquet"))
+    began = time.monotonic()
+    assert er_possible_duplicates(spark, str(tmp_path)).count() == 2000 * 1999 // 2
+    assert time.monotonic() - began < 45
+
+
 GITHUB = {"items": [{"full_name": "Acme/Tool", "name": "Tool", "owner": {"login": "Acme"}, "html_url": "https://x.example/Acme/Tool", "stargazers_count": 5000, "forks_count": 10, "license": {"spdx_id": "MIT"}, "pushed_at": "2025-02-01", "open_issues_count": 3, "topics": ["a"], "readme": {"path": "README.md", "content": "aGVsbG8="}, "releases": [{"tag_name": f"v{i}"} for i in range(7)], "issues": [{"number": i, "title": "crash bug" if i == 0 else "ask", "labels": [], "pull_request": {"url": "u"} if i == 1 else None} for i in range(12)]}, {"full_name": "", "name": "none"}]}
 
 
