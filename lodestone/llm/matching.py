@@ -144,24 +144,25 @@ def title_pairs(titles: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs of different titles (``ta``, ``tb``), ``direct`` for a beginning, that may share the weight which both need; none is left out.
 
     A list of more than ``crowd`` titles gives all pairs of which both have what they need, and is made longer for the rest:
-    a row that had what it needs (``done``) before the key was made longer meets only rows that hadn't.
+    a row that had what it needs (``done``) before the key was made longer meets only rows that hadn't. Keys of all lengths
+    differ, so what is read of all lists is joined once.
     """
 
     def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs of short lists and the complete ones of long lists; and the long lists."""
+        """The rows of short lists and the complete ones of long lists; and the long lists."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h"), F.bool_and("done").alias("over"), F.bool_and(F.col("need") <= 1e-9).alias("full")).where("l <> h and n > 1 and not over")
         sized = written(rows.join(sizes.select("key", "n", "full"), "key"), "lists")
         now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select("key", "tid", "done")
-        met = now.toDF("key", "ta", "da").join(now.toDF("key", "tb", "db"), "key").where("ta < tb and not (da and db)").select("ta", "tb")
-        return met, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full")
+        return now, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full")
 
     rows, found = _longer(titles.select("tid", "lo", "hi", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"), F.lit(False)), None
     while True:
-        met, long = read(rows)
-        found = met if found is None else found.unionByName(met)
+        now, long = read(rows)
+        found = now if found is None else found.unionByName(now)
         if not long.limit(1).count():
             break
         rows = _longer(long.join(titles.select("tid", "terms"), "tid"), F.col("need") <= 1e-9)
+    found = found.toDF("key", "ta", "da").join(found.toDF("key", "tb", "db"), "key").where("ta < tb and not (da and db)").select("ta", "tb")
     heads = _beginnings(titles)
     asked = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") > 1))
     heads = heads.join(asked.select("key"), "key")
@@ -174,8 +175,9 @@ def candidates(idx: DataFrame, average: float, crowd: int = CROWD, top: int = TO
     """Pairs of classes of different sources: ``a`` < ``b``, ``plain`` (BM25 over the words they share)."""
     titles = idx.where("title <> ''").groupBy("tid").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.first("title").alias("title"), F.min("cut").alias("lo_cut"), F.max("cut").alias("hi_cut"), F.first("terms").alias("terms"), F.first("words").alias("words"), F.first("need").alias("need"))
     titles = written(titles, "titles")
-    light = lambda df, k, s: df.select(F.col(k).alias(s), F.transform("terms", lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), x["w"].alias("w"))).alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
-    gained = F.expr("aggregate(array_intersect(terms_{0}, terms_{1}), 0D, (s, y) -> s + y.w)".format("x", "y"))
+    light = lambda df, k, s: df.select(F.col(k).alias(s), F.transform("terms", lambda x: F.xxhash64(x["t"])).alias(f"terms_{s}"), *([F.col("terms.w").alias("weights")] if s == "x" else []), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
+    # a word weighs the same in both; each is once in a title
+    gained = F.expr("aggregate(zip_with(terms_x, weights, (t, w) -> if(array_contains(terms_y, t), w, 0D)), 0D, (s, w) -> s + w)")
     # titles hold a word once, as a rule: a term frequency of one, set against the title's length
     norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
     plain = (F.col("gained") * F.sqrt(norm("x") * norm("y"))).alias("plain")
@@ -235,7 +237,7 @@ CONFIDENT = 0.4
 
 
 def with_gaps(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``open`` (not ruled out), ``gap``, ``ties``, ``nearest`` (by title alone, on both sides) and ``mutual``.
+    """Pairs that are ``nearest`` (by title alone, on both sides), ``mutual`` or share an identifier, with ``open`` (not ruled out), ``gap`` and ``ties``.
 
     A pair is ruled out if its titles have different markers or its identifiers conflict while none is shared. The gap is
     a pair's title score less the best other title score of either side in the same other source, relative to the pair's,
@@ -243,17 +245,18 @@ def with_gaps(pairs: DataFrame) -> DataFrame:
     many open pairs of one side score the same, the greater of both sides.
     """
     told = pairs.withColumn("open", (F.col("same") > 0) | ((F.col("differ") == 0) & ~F.col("apart")))
-    both = told.selectExpr("a as x", "src_b as other", "a", "b", "plain", "score", "open").unionByName(told.selectExpr("b as x", "src_a as other", "a", "b", "plain", "score", "open"))
+    both = told.selectExpr("a as x", "src_b as other", "a", "b", "plain", "score", "open", "same").unionByName(told.selectExpr("b as x", "src_a as other", "a", "b", "plain", "score", "open", "same"))
     by = Window.partitionBy("x", "other")
     order = by.orderBy(F.desc("plain"))
-    ranked = both.select("a", "b", "x", "other", "plain", "score", "open", F.row_number().over(order).alias("r"), F.first("plain").over(order).alias("best"), F.lead("plain").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(by).alias("top"))
+    ranked = both.select("a", "b", "x", "other", "plain", "score", "open", "same", F.row_number().over(order).alias("r"), F.first("plain").over(order).alias("best"), F.lead("plain").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(by).alias("top"))
     nearest = F.col("plain") >= F.col("best")
     rival = F.when(F.col("r") == 1, F.coalesce("next", F.lit(0.0))).otherwise(F.col("best"))
     gap = F.when(F.col("plain") > 0, F.greatest((F.col("plain") - rival) / F.col("plain"), F.lit(-1.0))).otherwise(F.lit(-1.0))
     first = F.col("open") & (F.col("score") >= F.col("top"))
-    ranked = ranked.select("a", "b", gap.alias("gap"), nearest.alias("nearest"), first.alias("first"), F.count_if(first).over(by).alias("ties"))
-    sides = ranked.groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("first").alias("mutual"), F.bool_and("nearest").alias("nearest"), F.max("ties").alias("ties"))
-    return told.join(sides, ["a", "b"])
+    ranked = ranked.select("a", "b", gap.alias("gap"), nearest.alias("nearest"), first.alias("first"), F.count_if(first).over(by).alias("ties"), "same")
+    # what is neither on one side can't be both on either
+    sides = ranked.where("nearest or first or same > 0").groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("first").alias("mutual"), F.bool_and("nearest").alias("nearest"), F.max("ties").alias("ties"), F.count("*").alias("sides"))
+    return told.join(sides.where("sides = 2").drop("sides"), ["a", "b"]).where("nearest or mutual or same > 0")
 
 
 def _fit(cells: list[tuple[float, float, float, float]], rounds: int = 25) -> tuple[float, ...]:
@@ -288,8 +291,7 @@ def matches(papers: DataFrame) -> DataFrame:
     until the end.
     """
     idx, members = index(records(papers))
-    near = with_gaps(scored(idx)).where("nearest or mutual or same > 0")
-    near = written(with_far(near, idx), "near")
+    near = written(with_far(with_gaps(scored(idx)), idx), "near")
     cell = lambda c: F.ceil(F.least(F.col(c), F.lit(1.0)) * 50) / 50  # noqa: E731  (0 only for equal titles)
     # what identifiers tell, wherever they tell: counts in cells of gap and title distance, whatever the number of pairs
     seen = near.where("nearest and not apart and (same > 0 or differ > 0)").groupBy(cell("gap").alias("g"), cell("far").alias("f")).agg(F.count_if(F.col("same") > 0).alias("t"), F.count("*").alias("n"))

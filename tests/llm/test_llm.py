@@ -107,6 +107,22 @@ def test_no_partner_is_left_out_of_a_crowd(spark):
     assert only.open and only.mutual and only.ties == 1 and only.gap == 0
 
 
+def test_title_pairs_read_all_lists_in_one_join(spark):
+    """Lists made longer round by round: no pair is lost, and the plan that the driver holds doesn't grow with the rounds."""
+    rng = random.Random(4)
+    terms = [(1.0 + (k * 7 % 10) / 10, f"w{k}", 1) for k in range(10)]
+    rows = []
+    for t in range(80):
+        own = sorted(rng.sample(terms, rng.randint(4, 8)), reverse=True)
+        rows.append((t, "a", "b", f"t{t}", False, False, own, 0.6 * sum(x[0] for x in own)))
+    df = spark.createDataFrame(rows, "tid long, lo string, hi string, title string, lo_cut boolean, hi_cut boolean, terms array<struct<w:double,t:string,df:bigint>>, need double")
+    got = matching.title_pairs(df, 2)
+    met = {(r.ta, r.tb) for r in got.collect()}
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and sum(w for w, *_ in set(x[6]) & set(y[6])) >= max(x[7], y[7])}
+    assert want and want <= met
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 4
+
+
 def test_matching_nothing(spark):
     assert matching.matches(spark.createDataFrame([], PAPER)).count() == 0
 
