@@ -16,15 +16,19 @@ that share no identifier are equally near, so of more than ``TOP`` open ones in
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from .. import session
+from ..session import table
 
 #: Rivals beyond which a tie can't be a match (more than 1 / CONFIDENT), the share of the own word weight that counts, the longest list of titles that is read as it is.
 TOP, SHARE, CROWD = 10, 0.6, 20
 K1, B = 1.2, 0.4
+#: What is cut here needs its shuffle files no more; they are several times the input.
+written = partial(session.written, release=True)
 #: Beginnings of a title are taken at these numbers of words.
 HEADS = (3, 5, 8, 12, 20, 40)
 #: titles' words that make a work of its own, and identifiers of collections.
@@ -109,22 +113,29 @@ def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     # a word of one source can be shared by no pair
     df = postings.groupBy("t").agg(F.count("*").alias("df"), F.min("src").alias("lo"), F.max("src").alias("hi")).where("lo <> hi")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = postings.join(df, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(idf.alias("w"), "t", "df")), False).alias("terms"))  # as many as one title has
-    none = F.expr("cast(array() as array<struct<w: double, t: string, df: bigint>>)")
+    terms = postings.join(df, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(idf.alias("w"), F.xxhash64("t").alias("t"))), False).alias("terms"))  # as many as one title has
+    none = F.expr("cast(array() as array<struct<w: double, t: bigint>>)")
     out = classes.withColumn("tid", F.xxhash64("title")).withColumn("mark", F.xxhash64(markers(F.col("title")))).join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none)).withColumn("words", F.size("ws")).drop("ws")
     out = out.withColumn("own", F.expr("aggregate(terms, 0D, (a, x) -> a + x.w)")).withColumn("need", F.col("own") * share)
     return written(out, "index"), keyed.select("id", "rid")
 
 
-#: Further terms of a record (``terms``) after place ``last`` whose own weight and that of all after them still reach ``need``.
-_FURTHER = "filter(sequence(last + 1, size(terms) - 1), j -> aggregate(slice(terms, j + 1, size(terms)), 0D, (a, x) -> a + x.w) >= need - 1e-9)"
+#: A record's terms as ``ts``, and as ``rest`` the weight of every term with all after it.
+_TERMS = ("transform(terms, x -> xxhash64(x.t)) as ts", "transform(terms, (y, j) -> aggregate(slice(terms, j + 1, size(terms)), 0D, (a, x) -> a + x.w)) as rest")
+#: Further terms of a record after place ``last`` whose own weight and that of all after them still reach ``need``.
+_FURTHER = "filter(sequence(last + 1, size(ts) - 1), j -> rest[j] >= need - 1e-9)"
 
 
 def _longer(rows: DataFrame, done: Column) -> DataFrame:
-    """Rows of (``tid``, ``lo``, ``hi``, ``key``, ``last``, ``need``, ``terms``) -> one row per term that makes the key longer; ``done`` of the row before."""
-    ext = rows.withColumn("done", done).where("last + 1 < size(terms)").withColumn("j", F.explode(F.expr(_FURTHER)))
-    x = F.expr("terms[j]")
-    return ext.select("tid", "lo", "hi", F.xxhash64("key", x["t"]).alias("key"), F.col("j").alias("last"), (F.col("need") - x["w"]).alias("need"), "done")
+    """Rows of (``tid``, ``lo``, ``hi``, ``key``, ``last``, ``need``, ``left``, ``ts``, ``rest``) -> one row per term that makes the key longer; ``done`` of the row before.
+
+    ``left`` are the terms before ``last`` that the key leaves out. Two titles under a key share none of them unless they
+    also meet under the key that begins with that term, so every pair has one key at which nothing left out is shared.
+    """
+    ext = rows.withColumn("done", done).where("last + 1 < size(ts)").withColumn("j", F.explode(F.expr(_FURTHER)))
+    weight = F.expr("rest[j] - if(j + 1 < size(rest), rest[j + 1], 0D)")
+    left = F.expr("concat(left, slice(ts, last + 2, j - last - 1))")
+    return ext.select("tid", "lo", "hi", F.xxhash64("key", F.expr("ts[j]")).alias("key"), F.col("j").alias("last"), (F.col("need") - weight).alias("need"), left.alias("left"), "done")
 
 
 def _compatible(rows: DataFrame, top: int) -> DataFrame:
@@ -151,48 +162,75 @@ def title_pairs(titles: DataFrame, crowd: int = CROWD) -> DataFrame:
     def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of short lists and the complete ones of long lists; and the long lists."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h"), F.bool_and("done").alias("over"), F.bool_and(F.col("need") <= 1e-9).alias("full")).where("l <> h and n > 1 and not over")
-        sized = written(rows.join(sizes.select("key", "n", "full"), "key"), "lists")
-        now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select("key", "tid", "done")
+        sized = written(rows.drop("lo", "hi").join(sizes.select("key", "n", "full"), "key"), "lists")
+        now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select("key", "tid", "done", "left")
         return now, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full")
 
-    rows, found = _longer(titles.select("tid", "lo", "hi", F.lit(1).cast("long").alias("key"), F.lit(-1).alias("last"), "need", "terms"), F.lit(False)), None
+    terms = written(titles.selectExpr("tid", "lo", "hi", "need", *_TERMS), "terms")
+    rows, found = _longer(terms.selectExpr("*", "1L as key", "-1 as last", "cast(array() as array<bigint>) as left"), F.lit(False)), None
     while True:
         now, long = read(rows)
         found = now if found is None else found.unionByName(now)
         if not long.limit(1).count():
             break
-        rows = _longer(long.join(titles.select("tid", "terms"), "tid"), F.col("need") <= 1e-9)
-    found = found.toDF("key", "ta", "da").join(found.toDF("key", "tb", "db"), "key").where("ta < tb and not (da and db)").select("ta", "tb")
+        rows = _longer(long.join(terms.select("tid", "lo", "hi", "ts", "rest"), "tid"), F.col("need") <= 1e-9)
+    once = "ta < tb and not (da and db) and (size(la) = 0 or size(lb) = 0 or not arrays_overlap(la, lb))"
+    found = found.toDF("key", "ta", "da", "la").join(found.toDF("key", "tb", "db", "lb"), "key").where(once).select("ta", "tb")
     heads = _beginnings(titles)
     asked = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") > 1))
     heads = heads.join(asked.select("key"), "key")
     begun = heads.where("asks").select("key", F.col("tid").alias("x")).join(heads.select("key", F.col("tid").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"))
     both = found.withColumn("direct", F.lit(False)).unionByName(begun.withColumn("direct", F.lit(True)))
-    return both.groupBy("ta", "tb").agg(F.bool_or("direct").alias("direct"))
+    # placed by one title, pairs need not be moved again to meet its terms
+    return both.repartition("ta").groupBy("ta", "tb").agg(F.bool_or("direct").alias("direct"))
+
+
+def _side(idx: DataFrame, s: str, *more: Column | str) -> DataFrame:
+    """What a pair needs to know of its class ``s``."""
+    return idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{c}_{s}") for c in ("doi", "arx", "oa")], F.col("mark").alias(f"mark_{s}"), F.col("cut").alias(f"cut_{s}"), F.length("title").alias(f"n_{s}"), *more)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Pairs with both sides -> shared (``same``) and conflicting identifiers (``differ``), ``apart`` (different markers), ``maybe`` (one may be broken off)."""
+    count = lambda sign: sum((F.coalesce(sign(F.col(f"{c}_a"), F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
+    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    maybe = ((F.col("cut_a") | F.col("cut_b")) | (short < 0.6 * long)) & (short >= 8)
+    keep = [c for c in ("x",) if c in pairs.columns]
+    return pairs.select(*keep, "a", "b", "src_a", "src_b", "plain", count(lambda a, b: a == b).alias("same"), count(lambda a, b: a != b).alias("differ"), maybe.alias("maybe"), (F.col("mark_a") != F.col("mark_b")).alias("apart"))
+
+
+def _idle(words: DataFrame) -> Column:
+    """Pairs that tell nothing of ``a``: two of its pairs in the same other source are nearer, and one not ruled out scores higher."""
+    order = Window.partitionBy("x", "a", "src_b").orderBy(F.desc("plain"))
+    sure = F.max(F.when((F.col("differ") == 0) & ~F.col("apart"), F.col("plain"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = (F.col("differ") == 0) & (~F.col("apart") | F.col("maybe")) & (F.col("plain") >= F.coalesce(sure, F.lit(0.0)))
+    return (F.row_number().over(order) > 2) & (F.col("plain") < F.first("plain").over(order)) & ~first
 
 
 def candidates(idx: DataFrame, average: float, crowd: int = CROWD, top: int = TOP) -> DataFrame:
-    """Pairs of classes of different sources: ``a`` < ``b``, ``plain`` (BM25 over the words they share)."""
+    """Pairs of classes of different sources, each once: ``a``, ``b``, ``plain`` (BM25 over the words they share), what ``_compared`` tells of them, and ``idle``."""
     titles = idx.where("title <> ''").groupBy("tid").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.first("title").alias("title"), F.min("cut").alias("lo_cut"), F.max("cut").alias("hi_cut"), F.first("terms").alias("terms"), F.first("words").alias("words"), F.first("need").alias("need"))
     titles = written(titles, "titles")
-    light = lambda df, k, s: df.select(F.col(k).alias(s), F.transform("terms", lambda x: F.xxhash64(x["t"])).alias(f"terms_{s}"), *([F.col("terms.w").alias("weights")] if s == "x" else []), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
+    light = lambda s: (F.col("terms.t" if s == "x" else "terms").alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
     # a word weighs the same in both; each is once in a title
-    gained = F.expr("aggregate(zip_with(terms_x, weights, (t, w) -> if(array_contains(terms_y, t), w, 0D)), 0D, (s, w) -> s + w)")
+    gained = F.expr("aggregate(terms_y, 0D, (s, y) -> s + if(array_contains(terms_x, y.t), y.w, 0D))")
     # titles hold a word once, as a rule: a term frequency of one, set against the title's length
     norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
     plain = (F.col("gained") * F.sqrt(norm("x") * norm("y"))).alias("plain")
-    near = title_pairs(titles, crowd).toDF("x", "y", "direct").join(light(titles, "tid", "x"), "x").join(light(titles, "tid", "y"), "y").withColumn("gained", gained)
+    near = title_pairs(titles, crowd).toDF("x", "y", "direct").join(titles.select(F.col("tid").alias("x"), *light("x")), "x").join(titles.select(F.col("tid").alias("y"), *light("y")), "y").withColumn("gained", gained)
     near = near.where("direct or gained >= greatest(need_x, need_y) - 1e-9").select("x", "y", plain)
-    side = lambda t, r, s: idx.select(F.col("tid").alias(t), F.col("rid").alias(r), F.col("src").alias(s))
-    words = near.join(side("x", "a", "sa"), "x").join(side("y", "b", "sb"), "y").where("sa <> sb").select("a", "b", "plain")
+    # the classes of y join where the pairs lie; with them the pairs move once more, to x
+    halves = written(near.join(_side(idx, "b", F.col("tid").alias("y")), "y").drop("y"), "halves")
+    words = halves.join(_side(idx, "a", F.col("tid").alias("x")), "x").where("src_a <> src_b")
+    words = _compared(words).where("same = 0")  # the others are among those that share an identifier
+    words = words.withColumn("idle", _idle(words)).drop("x")
     mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(("doi", "arx", "oa"))), F.lit(0))
     same = _compatible(idx.where("title <> ''").select(F.col("tid").alias("key"), "rid", "src", mask.alias("mask")), top)
     ids = idx.select("rid", "src", F.explode(_identifiers()).alias("k")).select(F.xxhash64("k").alias("key"), "rid", "src")
     shared = ids.toDF("key", "a", "sa").join(ids.toDF("key", "b", "sb"), "key").where("sa <> sb and a < b").select("a", "b")
-    whole = same.unionByName(shared).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    whole = whole.join(light(idx, "rid", "x"), "x").join(light(idx, "rid", "y"), "y").withColumn("gained", gained).select(F.col("x").alias("a"), F.col("y").alias("b"), plain)
-    every = words.unionByName(whole).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "plain")
-    return every.groupBy("a", "b").agg(F.max("plain").alias("plain"))
+    whole = same.unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    whole = whole.join(_side(idx, "a", *light("x")), "a").join(_side(idx, "b", *light("y")), "b").withColumn("gained", gained).withColumn("plain", plain)
+    return words.unionByName(_compared(whole).withColumn("idle", F.lit(False)))
 
 
 def identifier_weight(n: float) -> float:
@@ -201,16 +239,10 @@ def identifier_weight(n: float) -> float:
 
 
 def scored(idx: DataFrame) -> DataFrame:
-    """Candidates with ``score`` (BM25 over shared terms), shared and conflicting identifiers, and ``apart`` (different markers)."""
+    """Candidates with ``score`` (BM25 over shared terms)."""
     first = idx.agg(F.avg("words"), F.count("*")).first()
-    attributes = lambda s: idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{c}_{s}") for c in ("doi", "arx", "oa")], F.col("mark").alias(f"mark_{s}"), F.col("cut").alias(f"cut_{s}"), F.length("title").alias(f"n_{s}"))
-    pairs = candidates(idx, float(first[0] or 1.0)).join(attributes("a"), "a").join(attributes("b"), "b")
-    same = sum((F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
-    differ = sum((F.coalesce((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("int"), F.lit(0)) for c in ("doi", "arx", "oa")), F.lit(0))
-    score = F.col("plain") + same * float(identifier_weight(float(first[1])))
-    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    maybe = ((F.col("cut_a") | F.col("cut_b")) | (short < 0.6 * long)) & (short >= 8)
-    pairs = written(pairs.select("a", "b", "src_a", "src_b", "plain", score.alias("score"), same.alias("same"), differ.alias("differ"), maybe.alias("maybe"), (F.col("mark_a") != F.col("mark_b")).alias("apart")), "pairs")
+    pairs = candidates(idx, float(first[0] or 1.0)).withColumn("score", F.col("plain") + F.col("same") * float(identifier_weight(float(first[1]))))
+    pairs = written(pairs, "pairs")
     # a title broken off may have lost its marker: only for these the titles themselves are compared here
     lost = with_far(pairs.where("apart and maybe"), idx).withColumn("apart", ~F.col("clipped")).drop("far", "clipped")
     return pairs.where("not (apart and maybe)").unionByName(lost)
@@ -224,7 +256,7 @@ def with_far(pairs: DataFrame, idx: DataFrame) -> DataFrame:
     short, n = F.least(la, lb), F.greatest(la, lb)
     # a distance beyond 30 % of the characters is "as far apart as can be" by definition: no such pair is one work
     edits = lambda x, y, n: F.expr(f"levenshtein({x}, {y}, cast(ceil(0.3 * {n}) as int))")
-    share = lambda e, n: F.when(e < 0, F.lit(1.0)).otherwise(e / F.greatest(n, F.lit(1)))
+    share = lambda e, n: F.when(F.col("title_a") == F.col("title_b"), F.lit(0.0)).when(e < 0, F.lit(1.0)).otherwise(e / F.greatest(n, F.lit(1)))
     l, g = "least(length(title_a), length(title_b))", "greatest(length(title_a), length(title_b))"
     whole = share(edits("title_a", "title_b", g), n)
     head = share(edits(f"substring(title_a, 1, {l})", f"substring(title_b, 1, {l})", l), short)
@@ -245,18 +277,21 @@ def with_gaps(pairs: DataFrame) -> DataFrame:
     many open pairs of one side score the same, the greater of both sides.
     """
     told = pairs.withColumn("open", (F.col("same") > 0) | ((F.col("differ") == 0) & ~F.col("apart")))
-    both = told.selectExpr("a as x", "src_b as other", "a", "b", "plain", "score", "open", "same").unionByName(told.selectExpr("b as x", "src_a as other", "a", "b", "plain", "score", "open", "same"))
+    kept = ("open", "same", "differ", "apart", "maybe")
+    # an idle pair can't be any of these for ``a``: for ``b`` it is no more than a rival
+    both = told.where("not idle").select(F.col("a").alias("x"), F.col("src_b").alias("other"), "a", "b", "plain", "score", *kept)
+    both = both.unionByName(told.select(F.col("b").alias("x"), F.col("src_a").alias("other"), F.when(~F.col("idle"), F.col("a")).alias("a"), F.when(~F.col("idle"), F.col("b")).alias("b"), "plain", "score", *kept))
     by = Window.partitionBy("x", "other")
     order = by.orderBy(F.desc("plain"))
-    ranked = both.select("a", "b", "x", "other", "plain", "score", "open", "same", F.row_number().over(order).alias("r"), F.first("plain").over(order).alias("best"), F.lead("plain").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(by).alias("top"))
+    ranked = both.select("a", "b", "x", "other", "plain", "score", *kept, F.row_number().over(order).alias("r"), F.first("plain").over(order).alias("best"), F.lead("plain").over(order).alias("next"), F.max(F.when(F.col("open"), F.col("score"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
     nearest = F.col("plain") >= F.col("best")
     rival = F.when(F.col("r") == 1, F.coalesce("next", F.lit(0.0))).otherwise(F.col("best"))
     gap = F.when(F.col("plain") > 0, F.greatest((F.col("plain") - rival) / F.col("plain"), F.lit(-1.0))).otherwise(F.lit(-1.0))
     first = F.col("open") & (F.col("score") >= F.col("top"))
-    ranked = ranked.select("a", "b", gap.alias("gap"), nearest.alias("nearest"), first.alias("first"), F.count_if(first).over(by).alias("ties"), "same")
+    ranked = ranked.select("a", "b", gap.alias("gap"), nearest.alias("nearest"), first.alias("first"), F.count_if(first).over(by).alias("ties"), *kept)
     # what is neither on one side can't be both on either
-    sides = ranked.where("nearest or first or same > 0").groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("first").alias("mutual"), F.bool_and("nearest").alias("nearest"), F.max("ties").alias("ties"), F.count("*").alias("sides"))
-    return told.join(sides.where("sides = 2").drop("sides"), ["a", "b"]).where("nearest or mutual or same > 0")
+    sides = ranked.where("a is not null and (nearest or first or same > 0)").groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("first").alias("mutual"), F.bool_and("nearest").alias("nearest"), F.max("ties").alias("ties"), F.count("*").alias("sides"), *[F.first(c).alias(c) for c in kept])
+    return sides.where("sides = 2 and (nearest or mutual or same > 0)").drop("sides")
 
 
 def _fit(cells: list[tuple[float, float, float, float]], rounds: int = 25) -> tuple[float, ...]:
@@ -291,14 +326,16 @@ def matches(papers: DataFrame) -> DataFrame:
     until the end.
     """
     idx, members = index(records(papers))
-    near = written(with_far(with_gaps(scored(idx)), idx), "near")
+    # what neither teaches nor links needs no distance
+    told = with_gaps(scored(idx)).where("(nearest and not apart and (same > 0 or differ > 0)) or (open and (mutual or same > 0))")
+    near = written(with_far(told, idx), "near")
     cell = lambda c: F.ceil(F.least(F.col(c), F.lit(1.0)) * 50) / 50  # noqa: E731  (0 only for equal titles)
     # what identifiers tell, wherever they tell: counts in cells of gap and title distance, whatever the number of pairs
     seen = near.where("nearest and not apart and (same > 0 or differ > 0)").groupBy(cell("gap").alias("g"), cell("far").alias("f")).agg(F.count_if(F.col("same") > 0).alias("t"), F.count("*").alias("n"))
     beta = _fit([(r.g, r.f, float(r.t), float(r.n - r.t)) for r in seen.collect()])  # at most 101 x 51 cells
     title_says = F.lit(1.0) / (1 + F.exp(-(beta[0] + beta[1] * F.col("gap") + beta[2] * F.col("far") + beta[3] * (F.col("far") == 0).cast("int"))))
     conf = (1 - (1 - title_says) * F.pow(F.lit(0.1), F.col("same"))) / F.greatest("ties", F.lit(1))
-    links = near.where("open and (mutual or same > 0)").select("a", "b", F.round(conf, 6).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+    links = near.where("open and (mutual or same > 0)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(conf, 6).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
     links = written(links, "links")
     # two links through a third record
     way = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))

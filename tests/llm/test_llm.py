@@ -3,12 +3,14 @@
 import datetime
 import random
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone import session
 from lodestone.llm import leaks, matching, names, neighbours, packing, rolling, spans, splitting, survivor
 
 TS = datetime.datetime
@@ -123,6 +125,28 @@ def test_title_pairs_read_all_lists_in_one_join(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 4
 
 
+def test_matching_releases_shuffle_files(spark):
+    """What is written for good leaves no shuffle files behind until the driver happens to collect its garbage."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    assert matching.written(spark.range(5000).selectExpr("id % 700 as k").repartition(3, "k").groupBy("k").count(), "test").count() == 700
+    assert sum(Path(x).stat().st_size for x in files() - before if Path(x).exists()) < 1000
+    assert spark.conf.get(session.RELEASE) == "false"
+
+
+def test_idle_pairs_change_nothing(spark):
+    """Pairs that tell one side nothing are left out there: what is told of the others stays."""
+    rng, words = random.Random(5), [f"{a}{b}zob" for a in "kmrtv" for b in "aei"]
+    rows = [(i, f"paper:{('arxiv', 'openalex', 'lab')[i % 3]}:r{i}", " ".join(rng.sample(words, rng.randint(9, 13))), f"10.5555/{i % 9}" if i % 4 == 0 else None, None, None, 0) for i in range(60)]
+    idx, _ = matching.index(matching.records(spark.createDataFrame(rows, PAPER)))
+    pairs = matching.scored(idx)
+    told = lambda df: {frozenset((r.a, r.b)): (r.gap, r.mutual, r.nearest, r.ties, r.open, r.same) for r in matching.with_gaps(df).collect()}
+    assert pairs.where("idle").count() > 0
+    assert pairs.count() == len({frozenset((r.a, r.b)) for r in pairs.collect()})
+    want = told(pairs.withColumn("idle", pairs["idle"] & pairs["a"].isNull()))
+    assert want and told(pairs) == want
+
+
 def test_matching_nothing(spark):
     assert matching.matches(spark.createDataFrame([], PAPER)).count() == 0
 
