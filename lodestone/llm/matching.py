@@ -120,22 +120,20 @@ def index(recs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     return written(out, "index"), keyed.select("id", "rid")
 
 
-#: A record's terms as ``ts``, and as ``rest`` the weight of every term with all after it.
-_TERMS = ("transform(terms, x -> xxhash64(x.t)) as ts", "transform(terms, (y, j) -> aggregate(slice(terms, j + 1, size(terms)), 0D, (a, x) -> a + x.w)) as rest")
-#: Further terms of a record after place ``last`` whose own weight and that of all after them still reach ``need``.
-_FURTHER = "filter(sequence(last + 1, size(ts) - 1), j -> rest[j] >= need - 1e-9)"
+#: Places of further terms (``ts``, of weights ``ws``) that still reach ``need`` with all terms after them.
+_FURTHER = "filter(sequence(0, size(ts) - 1), j -> aggregate(slice(ws, j + 1, size(ws)), 0D, (a, w) -> a + w) >= need - 1e-9)"
 
 
 def _longer(rows: DataFrame, done: Column) -> DataFrame:
-    """Rows of (``tid``, ``lo``, ``hi``, ``key``, ``last``, ``need``, ``left``, ``ts``, ``rest``) -> one row per term that makes the key longer; ``done`` of the row before.
+    """Rows of (``tid``, ``lo``, ``hi``, ``key``, ``got``, ``need``, ``left``, ``ts``, ``ws``) -> one row per term that makes the key longer; ``done`` of the row before.
 
-    ``left`` are the terms before ``last`` that the key leaves out. Two titles under a key share none of them unless they
-    also meet under the key that begins with that term, so every pair has one key at which nothing left out is shared.
+    ``got`` is the weight of the key, ``ts`` the terms after its last one, ``left`` those before that the key leaves out. Two
+    titles under a key share none of these unless they also meet under the key that begins with that term, so every pair
+    has one key at which nothing left out is shared.
     """
-    ext = rows.withColumn("done", done).where("last + 1 < size(ts)").withColumn("j", F.explode(F.expr(_FURTHER)))
-    weight = F.expr("rest[j] - if(j + 1 < size(rest), rest[j + 1], 0D)")
-    left = F.expr("concat(left, slice(ts, last + 2, j - last - 1))")
-    return ext.select("tid", "lo", "hi", F.xxhash64("key", F.expr("ts[j]")).alias("key"), F.col("j").alias("last"), (F.col("need") - weight).alias("need"), left.alias("left"), "done")
+    ext = rows.withColumn("done", done).where("size(ts) > 0").withColumn("j", F.explode(F.expr(_FURTHER)))
+    weight = F.expr("ws[j]")
+    return ext.select("tid", "lo", "hi", F.xxhash64("key", F.expr("ts[j]")).alias("key"), (F.col("got") + weight).alias("got"), (F.col("need") - weight).alias("need"), F.expr("concat(left, slice(ts, 1, j))").alias("left"), *[F.expr(f"slice({c}, j + 2, size({c}))").alias(c) for c in ("ts", "ws")], "done")
 
 
 def _compatible(rows: DataFrame, top: int) -> DataFrame:
@@ -152,42 +150,49 @@ def _compatible(rows: DataFrame, top: int) -> DataFrame:
 
 
 def title_pairs(titles: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs of different titles (``ta``, ``tb``), ``direct`` for a beginning, that may share the weight which both need; none is left out.
+    """Pairs of different titles (``ta``, ``tb``) that share the weight which both need (``gained``), each once; none is left out.
 
     A list of more than ``crowd`` titles gives all pairs of which both have what they need, and is made longer for the rest:
     a row that had what it needs (``done``) before the key was made longer meets only rows that hadn't. Keys of all lengths
-    differ, so what is read of all lists is joined once.
+    differ, so what is read of all lists is joined once. Rows carry the terms after their key, which tell what else is shared.
     """
 
     def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of short lists and the complete ones of long lists; and the long lists."""
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("h"), F.bool_and("done").alias("over"), F.bool_and(F.col("need") <= 1e-9).alias("full")).where("l <> h and n > 1 and not over")
-        sized = written(rows.drop("lo", "hi").join(sizes.select("key", "n", "full"), "key"), "lists")
-        now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select("key", "tid", "done", "left")
-        return now, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full")
+        sized = written(rows.join(sizes.select("key", "n", "full"), "key"), "lists")
+        now = sized.where((F.col("n") <= crowd) | (F.col("need") <= 1e-9)).select(*kept)
+        return now, sized.where((F.col("n") > crowd) & ~F.col("full")).drop("n", "full", "done")
 
-    terms = written(titles.selectExpr("tid", "lo", "hi", "need", *_TERMS), "terms")
-    rows, found = _longer(terms.selectExpr("*", "1L as key", "-1 as last", "cast(array() as array<bigint>) as left"), F.lit(False)), None
+    kept = ("key", "tid", "done", "got", "need", "left", "ts", "ws")
+    start = titles.selectExpr("tid", "lo", "hi", "1L as key", "0D as got", "need", "cast(array() as array<bigint>) as left", "transform(terms, x -> xxhash64(x.t)) as ts", "terms.w as ws")
+    rows, found = _longer(start, F.lit(False)), None
     while True:
         now, long = read(rows)
         found = now if found is None else found.unionByName(now)
         if not long.limit(1).count():
             break
-        rows = _longer(long.join(terms.select("tid", "lo", "hi", "ts", "rest"), "tid"), F.col("need") <= 1e-9)
-    once = "ta < tb and not (da and db) and (size(la) = 0 or size(lb) = 0 or not arrays_overlap(la, lb))"
-    found = found.toDF("key", "ta", "da", "la").join(found.toDF("key", "tb", "db", "lb"), "key").where(once).select("ta", "tb")
+        rows = _longer(long, F.col("need") <= 1e-9)
+    side = lambda s: found.toDF("key", f"t{s}", *[f"{c}_{s}" for c in kept[2:]])
+    once = "ta < tb and not (done_a and done_b) and (size(left_a) = 0 or size(left_b) = 0 or not arrays_overlap(left_a, left_b))"
+    met = side("a").join(side("b"), "key").where(once)
+    # exploded, so that it is summed up once for a pair: as a condition it would be once more
+    gained = "aggregate(zip_with(ts_a, ws_a, (t, w) -> if(array_contains(ts_b, t), w, 0D)), got_a, (s, w) -> s + w)"
+    return met.select("ta", "tb", F.explode(F.expr(f"filter(array({gained}), g -> g - got_a >= greatest(need_a, need_b) - 1e-9)")).alias("gained"))
+
+
+def begun_pairs(titles: DataFrame) -> DataFrame:
+    """Pairs of different titles (``ta``, ``tb``) of which one may be the beginning of the other, each once."""
     heads = _beginnings(titles)
     asked = heads.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asked")).where(F.col("asked") & (F.col("n") > 1))
     heads = heads.join(asked.select("key"), "key")
-    begun = heads.where("asks").select("key", F.col("tid").alias("x")).join(heads.select("key", F.col("tid").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb"))
-    both = found.withColumn("direct", F.lit(False)).unionByName(begun.withColumn("direct", F.lit(True)))
-    # placed by one title, pairs need not be moved again to meet its terms
-    return both.repartition("ta").groupBy("ta", "tb").agg(F.bool_or("direct").alias("direct"))
+    begun = heads.where("asks").select("key", F.col("tid").alias("x")).join(heads.select("key", F.col("tid").alias("y")), "key").where("x <> y")
+    return begun.select(F.least("x", "y").alias("ta"), F.greatest("x", "y").alias("tb")).distinct()
 
 
 def _side(idx: DataFrame, s: str, *more: Column | str) -> DataFrame:
     """What a pair needs to know of its class ``s``."""
-    return idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{c}_{s}") for c in ("doi", "arx", "oa")], F.col("mark").alias(f"mark_{s}"), F.col("cut").alias(f"cut_{s}"), F.length("title").alias(f"n_{s}"), *more)
+    return idx.select(F.col("rid").alias(s), F.col("src").alias(f"src_{s}"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{c}_{s}") for c in ("doi", "arx", "oa")], F.col("mark").alias(f"mark_{s}"), F.col("cut").alias(f"cut_{s}"), F.length("title").alias(f"n_{s}"), F.col("words").alias(f"words_{s}"), *more)
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -211,17 +216,17 @@ def candidates(idx: DataFrame, average: float, crowd: int = CROWD, top: int = TO
     """Pairs of classes of different sources, each once: ``a``, ``b``, ``plain`` (BM25 over the words they share), what ``_compared`` tells of them, and ``idle``."""
     titles = idx.where("title <> ''").groupBy("tid").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.first("title").alias("title"), F.min("cut").alias("lo_cut"), F.max("cut").alias("hi_cut"), F.first("terms").alias("terms"), F.first("words").alias("words"), F.first("need").alias("need"))
     titles = written(titles, "titles")
-    light = lambda s: (F.col("terms.t" if s == "x" else "terms").alias(f"terms_{s}"), F.col("words").alias(f"words_{s}"), F.col("need").alias(f"need_{s}"))
+    terms = lambda s: F.col("terms.t" if s == "x" else "terms").alias(f"terms_{s}")
     # a word weighs the same in both; each is once in a title
-    gained = F.expr("aggregate(terms_y, 0D, (s, y) -> s + if(array_contains(terms_x, y.t), y.w, 0D))")
+    gained = F.expr("aggregate(terms_y, 0D, (s, y) -> s + if(array_contains(terms_x, y.t), y.w, 0D))").alias("gained")
     # titles hold a word once, as a rule: a term frequency of one, set against the title's length
     norm = lambda s: F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.col(f"words_{s}") / average))
-    plain = (F.col("gained") * F.sqrt(norm("x") * norm("y"))).alias("plain")
-    near = title_pairs(titles, crowd).toDF("x", "y", "direct").join(titles.select(F.col("tid").alias("x"), *light("x")), "x").join(titles.select(F.col("tid").alias("y"), *light("y")), "y").withColumn("gained", gained)
-    near = near.where("direct or gained >= greatest(need_x, need_y) - 1e-9").select("x", "y", plain)
-    # the classes of y join where the pairs lie; with them the pairs move once more, to x
+    plain = F.col("gained") * F.sqrt(norm("a") * norm("b"))
+    begun = begun_pairs(titles).toDF("x", "y").join(titles.select(F.col("tid").alias("x"), terms("x")), "x").join(titles.select(F.col("tid").alias("y"), terms("y")), "y").select("x", "y", gained)
+    # placed by y, where the classes of y join; with them the pairs move once more, to x
+    near = title_pairs(titles, crowd).toDF("x", "y", "gained").unionByName(begun).repartition("y").groupBy("x", "y").agg(F.max("gained").alias("gained"))
     halves = written(near.join(_side(idx, "b", F.col("tid").alias("y")), "y").drop("y"), "halves")
-    words = halves.join(_side(idx, "a", F.col("tid").alias("x")), "x").where("src_a <> src_b")
+    words = halves.join(_side(idx, "a", F.col("tid").alias("x")), "x").where("src_a <> src_b").withColumn("plain", plain)
     words = _compared(words).where("same = 0")  # the others are among those that share an identifier
     words = words.withColumn("idle", _idle(words)).drop("x")
     mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(("doi", "arx", "oa"))), F.lit(0))
@@ -229,7 +234,7 @@ def candidates(idx: DataFrame, average: float, crowd: int = CROWD, top: int = TO
     ids = idx.select("rid", "src", F.explode(_identifiers()).alias("k")).select(F.xxhash64("k").alias("key"), "rid", "src")
     shared = ids.toDF("key", "a", "sa").join(ids.toDF("key", "b", "sb"), "key").where("sa <> sb and a < b").select("a", "b")
     whole = same.unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    whole = whole.join(_side(idx, "a", *light("x")), "a").join(_side(idx, "b", *light("y")), "b").withColumn("gained", gained).withColumn("plain", plain)
+    whole = whole.join(_side(idx, "a", terms("x")), "a").join(_side(idx, "b", terms("y")), "b").withColumn("gained", gained).withColumn("plain", plain)
     return words.unionByName(_compared(whole).withColumn("idle", F.lit(False)))
 
 

@@ -125,6 +125,19 @@ def test_title_pairs_read_all_lists_in_one_join(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 4
 
 
+def test_title_pairs_are_exact_and_each_once(spark):
+    """A pair that shares several rare terms is met under one key only, with the weight that it shares."""
+    rng = random.Random(6)
+    terms = [(1.0 + (k * 7 % 10) / 10, f"w{k}") for k in range(10)]
+    own = [sorted(rng.sample(terms, rng.randint(4, 8)), reverse=True) for _ in range(60)]
+    rows = [(t, "a", "b", x, 0.6 * sum(w for w, _ in x)) for t, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "tid long, lo string, hi string, terms array<struct<w:double,t:string>>, need double")
+    got = [(r.ta, r.tb, round(r.gained, 6)) for r in matching.title_pairs(df, 2).collect()]
+    weight = lambda x, y: sum(w for w, _ in set(x) & set(y))
+    want = {(x[0], y[0], round(weight(x[3], y[3]), 6)) for x in rows for y in rows if x[0] < y[0] and weight(x[3], y[3]) >= max(x[4], y[4])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_matching_releases_shuffle_files(spark):
     """What is written for good leaves no shuffle files behind until the driver happens to collect its garbage."""
     files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
